@@ -21,6 +21,7 @@ def get_spark(app: str = "depthkit", master: str | None = None, partitions: int
         b = b.master(master)
     b = (
         b.config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
