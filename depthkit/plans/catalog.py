@@ -1,6 +1,6 @@
 """Import every query module so they register, and expose the registry."""
 
-from depthkit.plans import q_features, q_mlprep, q_prep, q_quality  # noqa: F401
+from depthkit.plans import q_eval, q_features, q_mlprep, q_prep, q_quality  # noqa: F401
 from depthkit.plans.common import ORACLES, REGISTRY
 
 
