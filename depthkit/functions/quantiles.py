@@ -6,7 +6,8 @@ Here the exact answer is obtained in three distributed passes:
 
 1. per group: ``count`` and a bounded ``percentile_approx`` sketch at ``q -/+ 3/accuracy``,
    which brackets the exact order statistics (rank error of the sketch <= n/accuracy);
-2. per group: how many values fall below each bracket (partial aggregation, map-side);
+2. per group: how many values fall below / inside each bracket and the nearest values just
+   outside it (partial aggregation, map-side);
 3. only the values inside a bracket (about 6n/accuracy per group and quantile) are ranked
    by a window, and the order statistics at ``floor/ceil((n-1)q)`` are interpolated
    linearly, the definition used by ``percentile``/``quantile_cont``.
@@ -63,28 +64,49 @@ def group_quantiles(
     stats = stats.select(*keys, "_n", F.array(*qcols).alias("_br"))
 
     joined = base.join(stats, keys)
-    # pass 2: values strictly below each bracket
-    below = joined.groupBy(*keys).agg(
-        *[F.count_if(F.col("_v") < F.col("_br")[i]["lo"]).alias(f"_c{i}") for i in range(len(qs))]
-    )
+    nq = len(qs)
+    lo_i = [F.col("_br")[i]["lo"] for i in range(nq)]
+    hi_i = [F.col("_br")[i]["hi"] for i in range(nq)]
+    v = F.col("_v")
+    # pass 2: per bracket, the count below it, the count inside it, and the nearest values
+    # just outside it (covers order statistics one rank outside a narrow bracket)
+    aggs = []
+    for i in range(nq):
+        aggs += [
+            F.count_if(v < lo_i[i]).alias(f"_c{i}"),
+            F.count_if((v >= lo_i[i]) & (v <= hi_i[i])).alias(f"_in{i}"),
+            F.max(F.when(v < lo_i[i], v)).alias(f"_mb{i}"),
+            F.min(F.when(v > hi_i[i], v)).alias(f"_ma{i}"),
+        ]
+    edges = joined.groupBy(*keys).agg(*aggs)
     # pass 3: rank the values inside each bracket
-    cand = joined.select(*keys, "_v", F.explode(F.filter("_br", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))).alias("_b1"))
+    cand = joined.select(*keys, "_v", F.explode(F.filter("_br", lambda b: (v >= b["lo"]) & (v <= b["hi"]))).alias("_b1"))
     w = Window.partitionBy(*keys, F.col("_b1.qi")).orderBy("_v")
-    ranked = cand.select(
-        *keys, "_v", F.col("_b1.qi").alias("qi"), F.col("_b1.q").alias("q"),
-        (F.row_number().over(w) - 1).alias("_r"),
-    )
-    ranked = ranked.join(below.join(stats.select(*keys, "_n"), keys), keys)
-    c_lo = F.element_at(F.array(*[F.col(f"_c{i}") for i in range(len(qs))]), F.col("qi") + 1)
+    ranked = cand.select(*keys, "_v", F.col("_b1.qi").alias("qi"), (F.row_number().over(w) - 1).alias("_r"))
+    ctx = edges.join(stats.select(*keys, "_n"), keys)
+    per_q = ctx.select(*keys, "_n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("qi"), F.lit(q).alias("q"), F.col(f"_c{i}").alias("c"), F.col(f"_in{i}").alias("cin"),
+                 F.col(f"_mb{i}").alias("mb"), F.col(f"_ma{i}").alias("ma"))
+        for i, q in enumerate(qs)])).alias("_e")).select(*keys, "_n", "_e.*")
     h = (F.col("_n") - 1) * F.col("q")
-    rank = c_lo + F.col("_r")
-    picked = ranked.filter((rank == F.floor(h)) | (rank == F.ceil(h))).groupBy(*keys, "qi").agg(
-        F.max(F.when(rank == F.floor(h), F.col("_v"))).alias("_lo"),
-        F.max(F.when(rank == F.ceil(h), F.col("_v"))).alias("_hi"),
-        F.first(h - F.floor(h)).alias("_frac"),
+    per_q = per_q.withColumns({"_kf": F.floor(h), "_kc": F.ceil(h), "_frac": h - F.floor(h)})
+    rj = ranked.join(per_q.select(*keys, "qi", "c", "_kf", "_kc"), [*keys, "qi"])
+    rank = F.col("c") + F.col("_r")
+    picked = rj.filter((rank == F.col("_kf")) | (rank == F.col("_kc"))).groupBy(*keys, "qi").agg(
+        F.max(F.when(rank == F.col("_kf"), F.col("_v"))).alias("_vf"),
+        F.max(F.when(rank == F.col("_kc"), F.col("_v"))).alias("_vc"),
     )
-    val = F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))
-    out = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("qi") == i, val)).alias(n) for i, n in enumerate(names)])
+    res_q = per_q.join(picked, [*keys, "qi"], "left")
+
+    def at(k: str, inside: str):
+        kc = F.col(k)
+        return (F.when((kc >= F.col("c")) & (kc < F.col("c") + F.col("cin")), F.col(inside))
+                .when(kc == F.col("c") - 1, F.col("mb"))
+                .when(kc == F.col("c") + F.col("cin"), F.col("ma")))
+
+    lo_v, hi_v = at("_kf", "_vf"), at("_kc", "_vc")
+    val = lo_v + F.col("_frac") * (hi_v - lo_v)
+    out = res_q.groupBy(*keys).agg(*[F.max(F.when(F.col("qi") == i, val)).alias(n) for i, n in enumerate(names)])
     groups = stats.select(*keys, "_n")
     res = groups.join(out, keys, "left")
     res = res.withColumnRenamed("_n", count_name) if count_name else res.drop("_n")
