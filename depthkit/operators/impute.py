@@ -139,3 +139,35 @@ def impute_median(df: DataFrame, curves: Sequence[str], group: str | None = S.GR
     meds = curve_medians(df, curves, group)
     j = df.join(meds, group) if group else df.crossJoin(F.broadcast(meds))
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in curves}).select(*df.columns)
+
+
+def impute_by_family(df: DataFrame, features: Sequence[str], group: str = S.GROUP, order: str = S.ORDER,
+                     family=None) -> DataFrame:
+    """Fill feature NULLs by family, within each group in depth order.
+
+    rolling -> forward fill, backward fill, then the global median;
+    gradient -> interpolation over the row index (ends nearest), then 0;
+    ratio -> interpolation, then the global median; base -> the global median.
+    Global medians are exact and computed in one distributed pass over a long view.
+    """
+    from depthkit.operators.evaluate import feature_family
+
+    family = family or feature_family
+    feats = list(features)
+    meds = curve_medians(df, feats, None)
+    w = series_window(group, order)
+    t = df.withColumn("_pos", F.row_number().over(w)).crossJoin(F.broadcast(meds))
+    interp = interpolate_exprs([c for c in feats if family(c) in ("gradient", "ratio")], group, order, "_pos")
+    out = {}
+    for c in feats:
+        fam = family(c)
+        med = F.col(f"_med_{c}")
+        if fam == "rolling":
+            out[c] = F.coalesce(F.col(c), ffill(c, w), bfill(c, group, order), med)
+        elif fam == "gradient":
+            out[c] = F.coalesce(interp[c], F.lit(0.0))
+        elif fam == "ratio":
+            out[c] = F.coalesce(interp[c], med)
+        else:
+            out[c] = F.coalesce(F.col(c), med)
+    return t.withColumns(out).select(*df.columns)
