@@ -57,8 +57,12 @@ def safe_div(a: str | Column, b: str | Column) -> Column:
 
 
 def r6(c: str | Column) -> Column:
-    """Round half-up to 6 decimals with plain IEEE arithmetic (same result in any SQL engine)."""
-    return F.floor(col(c) * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    """Round half-up to 6 decimals with plain IEEE arithmetic (same result in any SQL engine).
+
+    Rounds to 9 decimals first, so values that differ between engines only in the last bits
+    (summation order) become identical before the final rounding, even on exact ties."""
+    x9 = F.floor(col(c) * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
+    return F.floor(x9 * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
 def ffill(c: str | Column, w: WindowSpec) -> Column:

@@ -37,7 +37,7 @@ def round_doubles(df: DataFrame) -> DataFrame:
 
 def R(expr: str) -> str:
     """SQL twin of ``r6``."""
-    return f"floor(CAST(({expr}) AS DOUBLE) * 1e6 + 0.5) / 1e6"
+    return f"floor(floor(CAST(({expr}) AS DOUBLE) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6"
 
 
 def E(spark: SparkSession, sf: str) -> DataFrame:
