@@ -61,8 +61,11 @@ def r6(c: str | Column) -> Column:
 
     Rounds to 9 decimals first, so values that differ between engines only in the last bits
     (summation order) become identical before the final rounding, even on exact ties."""
-    x9 = F.floor(col(c) * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
-    return F.floor(x9 * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    x = col(c)
+    x9 = F.floor(x * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
+    small = F.floor(x9 * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    big = F.floor(x + F.lit(0.5)).cast("double")  # Spark's floor returns BIGINT: keep it in range
+    return F.when(F.abs(x) < 1e9, small).when(F.abs(x) < 9e18, big).otherwise(x.cast("double"))
 
 
 def ffill(c: str | Column, w: WindowSpec) -> Column:

@@ -37,7 +37,9 @@ def round_doubles(df: DataFrame) -> DataFrame:
 
 def R(expr: str) -> str:
     """SQL twin of ``r6``."""
-    return f"floor(floor(CAST(({expr}) AS DOUBLE) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6"
+    x = f"CAST(({expr}) AS DOUBLE)"
+    return (f"(CASE WHEN abs({x}) < 1e9 THEN floor(floor({x} * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6 "
+            f"WHEN abs({x}) < 9e18 THEN floor({x} + 0.5) ELSE {x} END)")
 
 
 def E(spark: SparkSession, sf: str) -> DataFrame:
