@@ -154,9 +154,15 @@ def impute_by_family(df: DataFrame, features: Sequence[str], group: str = S.GROU
 
     family = family or feature_family
     feats = list(features)
-    meds = curve_medians(df, feats, None)
+    # one cheap pass: only columns that contain NULLs need a fill (and a median)
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in feats]).first().asDict()
+    todo = [c for c in feats if nulls[c] > 0]
+    need_med = [c for c in todo if family(c) != "gradient"]
     w = series_window(group, order)
-    t = df.withColumn("_pos", F.row_number().over(w)).crossJoin(F.broadcast(meds))
+    t = df.withColumn("_pos", F.row_number().over(w))
+    if need_med:
+        t = t.crossJoin(F.broadcast(curve_medians(df, need_med, None)))
+    feats = todo
     interp = interpolate_exprs([c for c in feats if family(c) in ("gradient", "ratio")], group, order, "_pos")
     out = {}
     for c in feats:
@@ -170,4 +176,4 @@ def impute_by_family(df: DataFrame, features: Sequence[str], group: str = S.GROU
             out[c] = F.coalesce(interp[c], med)
         else:
             out[c] = F.coalesce(F.col(c), med)
-    return t.withColumns(out).select(*df.columns)
+    return t.withColumns(out).select(*df.columns) if out else df

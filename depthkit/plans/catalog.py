@@ -1,6 +1,6 @@
 """Import every query module so they register, and expose the registry."""
 
-from depthkit.plans import q_eval, q_explore, q_features, q_mlprep, q_more, q_prep, q_quality  # noqa: F401
+from depthkit.plans import q_eval, q_explore, q_features, q_mlprep, q_models, q_more, q_prep, q_quality, q_sources  # noqa: F401
 from depthkit.plans.common import ORACLES, REGISTRY
 
 

@@ -51,10 +51,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never ``localCheckpoint``."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialize ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint (files on shared storage survive executor
+    loss; never ``localCheckpoint``) but computes the plan once, stores it columnar, and
+    lets later scans prune columns and push filters."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def local_path(p: str) -> str:
