@@ -75,6 +75,11 @@ def pct_change_expr(f: str, w: WindowSpec, lag: int) -> Column:
 # --------------------------------------------------------------------------- operators
 
 
+def _max_group(df: DataFrame, group: str) -> int:
+    from depthkit.operators.blocked import max_group_rows
+    return max_group_rows(df, group)
+
+
 def rolling_features(df: DataFrame, target: str = S.TARGET, windows: Sequence[int] = S.ROLLING_WINDOWS,
                      group: str = S.GROUP, order: str = S.ORDER, quantiles: bool = True) -> DataFrame:
     w = series_window(group, order)
@@ -205,11 +210,23 @@ def cross_curve_features(df: DataFrame, curves: Sequence[str] | None = None) ->
     return df.withColumns(cross_curve_exprs(df.columns, curves))
 
 
+HOT_GROUP_ROWS = 5_000_000
+
+
 def engineer_features(df: DataFrame, target: str = S.TARGET, windows: Sequence[int] = S.ROLLING_WINDOWS,
                       lags: Sequence[int] = S.DIFF_LAGS, group: str = S.GROUP, order: str = S.ORDER,
                       depth_window: tuple[float, float] = S.DEPTH_WINDOW, quantiles: bool = True,
-                      ratio_curves_: Sequence[str] | None = None) -> DataFrame:
-    """All per-row features of one target in three window levels over one shuffle."""
+                      ratio_curves_: Sequence[str] | None = None, skew: str = "off",
+                      block_rows: int = 1_000_000) -> DataFrame:
+    """All per-row features of one target in three window levels over one shuffle.
+
+    ``skew="auto"`` measures the largest group first and switches to the blocked plan
+    (``operators.blocked``) when it exceeds ``HOT_GROUP_ROWS``; ``"on"`` forces it.
+    """
+    if skew == "on" or (skew == "auto" and _max_group(df, group) > HOT_GROUP_ROWS):
+        from depthkit.operators.blocked import engineer_features_blocked
+        return engineer_features_blocked(df, target, windows, lags, group, order, depth_window, quantiles,
+                                         ratio_curves_, block_rows=block_rows)
     w = series_window(group, order)
     t = target
     base_cols = list(df.columns)

@@ -179,3 +179,12 @@ def _well_features_sql() -> str:
 
 
 register("well_features", _well_features_sql())(well_features_df)
+
+
+def well_features_blocked_df(spark, sf):
+    """Flagship on the hot-group plan: bounded (well, block) tasks, same result."""
+    df = clip_ranges(E(spark, sf).select("well_api", "DEPTH", "GR"))
+    return round_doubles(FE.engineer_features(df, "GR", skew="on", block_rows=32))
+
+
+register("well_features_blocked", _well_features_sql())(well_features_blocked_df)
