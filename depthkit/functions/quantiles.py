@@ -4,6 +4,8 @@ Spark's exact ``percentile``/``median`` keep every distinct value of a group in
 aggregation buffer; a hot group (say a third of the table) would land in a single task.
 Here the exact answer is obtained in three distributed passes:
 
+0. size check: when the largest group has at most ``DIRECT_MAX`` values, Spark's exact
+   ``percentile`` is used directly (its buffer is then bounded); otherwise:
 1. per group: ``count`` and a bounded ``percentile_approx`` sketch at ``q -/+ 3/accuracy``,
    which brackets the exact order statistics (rank error of the sketch <= n/accuracy);
 2. per group: how many values fall below / inside each bracket and the nearest values just
@@ -20,7 +22,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
+DEFAULT_ACCURACY = 10_000
+MAX_CANDIDATES = 1_000_000  # target bound on bracket rows ranked in one task
+DIRECT_MAX = 2_000_000  # largest group for which Spark's exact percentile buffer is used
 
 
 def group_quantiles(
@@ -29,10 +33,14 @@ def group_quantiles(
     value: str | Column,
     qs: Sequence[float],
     names: Sequence[str] | None = None,
-    accuracy: int = DEFAULT_ACCURACY,
+    accuracy: int | None = None,
     count_name: str | None = None,
+    materialize: bool = True,
 ) -> DataFrame:
-    """One row per group: ``keys`` + one column per quantile (NULL for groups without values)."""
+    """One row per group: ``keys`` + one column per quantile (NULL for groups without values).
+
+    ``accuracy=None`` sizes the sketch from the largest group (one small aggregate), so a
+    bracket holds about 6*n/accuracy <= MAX_CANDIDATES rows even for a hot group."""
     keys = list(keys)
     global_group = not keys
     if global_group:
@@ -42,6 +50,20 @@ def group_quantiles(
     names = list(names) if names is not None else [f"q{int(round(q * 100))}" for q in qs]
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if accuracy is None:
+        biggest = base.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if biggest <= DIRECT_MAX:
+            # size-checked fast path: every group fits Spark's exact percentile buffer
+            pc = F.percentile("_v", F.array(*[F.lit(q) for q in qs])) if len(qs) > 1 else F.percentile("_v", F.lit(qs[0]))
+            agg = base.groupBy(*keys).agg(F.count("_v").alias("_n"), pc.alias("_p"))
+            res = agg.select(*keys, "_n", *[(F.col("_p")[i] if len(qs) > 1 else F.col("_p")).alias(n) for i, n in enumerate(names)])
+            res = res.withColumnRenamed("_n", count_name) if count_name else res.drop("_n")
+            return res.drop("_g") if global_group else res
+        accuracy = int(min(10_000_000, max(DEFAULT_ACCURACY, 6 * biggest // MAX_CANDIDATES)))
+    if materialize:
+        # the narrow (keys, value) input is scanned by every pass: compute it once
+        from depthkit.session import cut_lineage
+        base = cut_lineage(base, "quantile-input")
 
     d = 3.0 / accuracy
     probs: list[float] = []
@@ -113,5 +135,5 @@ def group_quantiles(
     return res.drop("_g") if global_group else res
 
 
-def group_median(df: DataFrame, keys: Sequence[str], value: str | Column, name: str = "median", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def group_median(df: DataFrame, keys: Sequence[str], value: str | Column, name: str = "median", accuracy: int | None = None) -> DataFrame:
     return group_quantiles(df, keys, value, [0.5], [name], accuracy)

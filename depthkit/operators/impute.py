@@ -60,7 +60,7 @@ def curve_medians(df: DataFrame, curves: Sequence[str], group: str | None = S.GR
 
 def impute_policy(df: DataFrame, curves: Sequence[str] | None = None, group: str = S.GROUP, order: str = S.ORDER,
                   threshold: float = S.IMPUTATION_THRESHOLD, interp_below: float = S.INTERPOLATE_BELOW_PCT,
-                  mode: str = "median", with_flags: bool = False):
+                  mode: str = "median", with_flags: bool = False, materialize: bool = True):
     """Per (group, curve) choose the fill by the curve's missing percentage.
 
     0 % -> unchanged; < ``interp_below`` -> W11; < ``threshold`` -> neighbour-curve branch;
@@ -72,6 +72,9 @@ def impute_policy(df: DataFrame, curves: Sequence[str] | None = None, group: str
     replaces the median in that branch by a real within-group KNN (see ``knn_impute``).
     """
     curves = list(curves) if curves is not None else numeric_curves(df)
+    if materialize:
+        from depthkit.session import cut_lineage
+        df = cut_lineage(df, "impute-input")  # read by four passes
     n = F.count(F.lit(1))
     stats = df.groupBy(group).agg(n.alias("_rows"), *[F.count(F.col(c)).alias(f"_nn_{c}") for c in curves])
     meds = curve_medians(df, curves, group)
@@ -142,7 +145,7 @@ def impute_median(df: DataFrame, curves: Sequence[str], group: str | None = S.GR
 
 
 def impute_by_family(df: DataFrame, features: Sequence[str], group: str = S.GROUP, order: str = S.ORDER,
-                     family=None) -> DataFrame:
+                     family=None, materialize: bool = True) -> DataFrame:
     """Fill feature NULLs by family, within each group in depth order.
 
     rolling -> forward fill, backward fill, then the global median;
@@ -154,6 +157,9 @@ def impute_by_family(df: DataFrame, features: Sequence[str], group: str = S.GROU
 
     family = family or feature_family
     feats = list(features)
+    if materialize:
+        from depthkit.session import cut_lineage
+        df = cut_lineage(df, "family-input")  # read by the count, median and fill passes
     # one cheap pass: only columns that contain NULLs need a fill (and a median)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in feats]).first().asDict()
     todo = [c for c in feats if nulls[c] > 0]

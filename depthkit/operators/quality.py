@@ -76,9 +76,10 @@ def target_stats(df: DataFrame, target: str = S.TARGET, group: str = S.GROUP,
 def mad_outliers(df: DataFrame, target: str = S.TARGET, group: str = S.GROUP,
                  k: float = S.MAD_THRESHOLD, flag_fraction: float = S.MAD_FLAG_FRACTION) -> DataFrame:
     """A4: high-side MAD outliers: x > median + k * median(|x - median|)."""
+    from depthkit.session import cut_lineage
     x = F.col(target)
-    vals = df.select(group, x.alias("_x")).filter(F.col("_x").isNotNull())
-    med = group_quantiles(vals, [group], "_x", [0.5], ["median"])
+    vals = cut_lineage(df.select(group, x.alias("_x")).filter(F.col("_x").isNotNull()), "mad-input")
+    med = group_quantiles(vals, [group], "_x", [0.5], ["median"], materialize=False)
     dev = vals.join(med, group).select(group, F.abs(F.col("_x") - F.col("median")).alias("_d"))
     mad = group_quantiles(dev, [group], "_d", [0.5], ["mad"])
     lim = med.join(mad, group).withColumn("limit", F.col("median") + k * F.col("mad"))

@@ -15,10 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_DEFAULT = "/tmp/depthkit-checkpoints"
 
 
-def get_spark(app: str = "depthkit", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def get_spark(app: str = "depthkit", master: str | None = None, partitions: int | None = None,
+              driver_memory: str | None = None) -> SparkSession:
+    """Session with UI off, UTC, AQE and skew-join handling.  ``driver_memory`` only matters
+    for local mode (there the driver JVM is the executor) and must be set before start."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     b = (
         b.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
