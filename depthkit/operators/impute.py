@@ -60,7 +60,7 @@ def curve_medians(df: DataFrame, curves: Sequence[str], group: str | None = S.GR
 
 def impute_policy(df: DataFrame, curves: Sequence[str] | None = None, group: str = S.GROUP, order: str = S.ORDER,
                   threshold: float = S.IMPUTATION_THRESHOLD, interp_below: float = S.INTERPOLATE_BELOW_PCT,
-                  mode: str = "median", with_flags: bool = False, materialize: bool = True):
+                  with_flags: bool = False, materialize: bool = True):
     """Per (group, curve) choose the fill by the curve's missing percentage.
 
     0 % -> unchanged; < ``interp_below`` -> W11; < ``threshold`` -> neighbour-curve branch;
@@ -68,8 +68,7 @@ def impute_policy(df: DataFrame, curves: Sequence[str] | None = None, group: str
     the workflow fills medians before its KNN step, so the effective result is the median,
     except rows where the curve and all usable neighbour curves (> 50 % complete) are NULL,
     which stay NULL (when more than 10 rows are usable).  Curves are processed in order, so
-    a curve already processed counts as complete once it has any value.  ``mode="knn"``
-    replaces the median in that branch by a real within-group KNN (see ``knn_impute``).
+    a curve already processed counts as complete once it has any value.
     """
     curves = list(curves) if curves is not None else numeric_curves(df)
     if materialize:
