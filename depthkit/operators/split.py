@@ -18,13 +18,21 @@ from depthkit.functions.exprs import md5_order, numeric_curves
 
 
 def well_order(df: DataFrame, group: str = S.GROUP, seed: int = 42, partition: str | None = None) -> DataFrame:
-    """(group, [partition], n, rank) with rank 0.. in seeded md5 order."""
+    """(group, [partition], n, rank) with rank 0.. in seeded md5 order.
+
+    The rank is computed without a single-task window: the md5 prefix is used as a numeric
+    order key and ``blocked.series_index`` numbers rows through bucket counts and offsets."""
+    from depthkit.operators.blocked import series_index
     keys = [group] + ([partition] if partition else [])
     wells = df.groupBy(group).agg(*([F.first(partition).alias(partition)] if partition else [])) if partition else df.select(group).distinct()
-    by = [partition] if partition else []
-    w = Window.partitionBy(*by).orderBy(md5_order(group, seed), F.col(group))
-    wall = Window.partitionBy(*by)
-    return wells.select(*keys, (F.row_number().over(w) - 1).alias("rank"), F.count(F.lit(1)).over(wall).alias("n"))
+    h = md5_order(group, seed)
+    # 52 leading bits of the md5 as an exact double, then the full hex and the id break ties
+    key = F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double")
+    part = partition or "_all"
+    t = wells.withColumns({"_h": h, "_hk": key, **({} if partition else {"_all": F.lit(0)})})
+    t = t.withColumn("_tie", F.concat(F.col("_h"), F.lit("|"), F.col(group).cast("string")))
+    idx, st = series_index(t, part, "_hk", bucket_rows=1_000_000, tie="_tie")
+    return idx.select(*keys, F.col("_idx").cast("int").alias("rank"), F.col("_n").alias("n"))
 
 
 def _cut(rank: Column, n: Column, train: float, val: float, min_val: int) -> Column:
