@@ -216,7 +216,7 @@ HOT_GROUP_ROWS = 5_000_000
 def engineer_features(df: DataFrame, target: str = S.TARGET, windows: Sequence[int] = S.ROLLING_WINDOWS,
                       lags: Sequence[int] = S.DIFF_LAGS, group: str = S.GROUP, order: str = S.ORDER,
                       depth_window: tuple[float, float] = S.DEPTH_WINDOW, quantiles: bool = True,
-                      ratio_curves_: Sequence[str] | None = None, skew: str = "off",
+                      ratio_curves_: Sequence[str] | None = None, skew: str = "auto",
                       block_rows: int = 1_000_000) -> DataFrame:
     """All per-row features of one target in three window levels over one shuffle.
 

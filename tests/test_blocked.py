@@ -29,3 +29,15 @@ def test_blocked_equals_plain(spark):
     idx, _ = series_index(df, bucket_rows=24)
     sizes = with_blocks(idx, 24, 16).groupBy("well_api", "_blk").count().agg(F.max("count")).first()[0]
     assert sizes <= 24 + 2 * 16
+
+
+def test_blocked_sequences_equal_plain(spark):
+    from depthkit.operators.sequences import sequences
+    from depthkit.plans.common import L
+    df = L(spark, SF).drop("operator_id")
+    feats = ["RHOB", "NPHI", "RT", "PE"]
+    a = sequences(df, feats, "GR", 10, 2).orderBy("well_api", "depth").collect()
+    b = sequences(df, feats, "GR", 10, 2, skew="on", block_rows=40).orderBy("well_api", "depth").collect()
+    assert len(a) == len(b) > 0
+    for x, y in zip(a, b):
+        assert x.asDict() == y.asDict()
