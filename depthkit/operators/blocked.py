@@ -28,20 +28,23 @@ from depthkit.functions.exprs import flag, safe_div
 from depthkit.operators.features import cross_curve_exprs, lithology_exprs, rolling_exprs
 
 
-def series_index(df: DataFrame, group: str = S.GROUP, order: str = S.ORDER, bucket_rows: int = 1_000_000,
+def series_index(df: DataFrame, group: str | None = S.GROUP, order: str = S.ORDER, bucket_rows: int = 1_000_000,
                  tie: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Add ``_idx`` (0-based position in the group's depth order); also return group stats."""
-    st = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_dmin"), F.max(order).alias("_dmax"))
+    """Add ``_idx`` (0-based position in the group's order; ``group=None``: in the whole
+    table) and ``_n``/``_dmin``/``_dmax``; also return the group stats."""
+    keys = [group] if group else []
+    st = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_dmin"), F.max(order).alias("_dmax"))
     width = (F.col("_dmax") - F.col("_dmin")) * F.lit(float(bucket_rows)) / F.col("_n")
-    j = df.join(st, group)
+    # per-group stats: a join (broadcast only if Catalyst measures it small); global: one row
+    j = df.join(st, keys) if keys else df.crossJoin(F.broadcast(st))
     bucket = F.when(width > 0, F.floor((F.col(order) - F.col("_dmin")) / width)).otherwise(F.lit(0)).cast("long")
     j = j.withColumn("_bkt", bucket)
-    counts = j.groupBy(group, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
-    wb = Window.partitionBy(group).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = j.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
+    wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
-    j = j.join(offsets, [group, "_bkt"])
+    j = j.join(offsets, [*keys, "_bkt"])
     ords = [F.col(order)] + ([F.col(tie)] if tie else [])
-    wi = Window.partitionBy(group, "_bkt").orderBy(*ords)
+    wi = Window.partitionBy(*keys, "_bkt").orderBy(*ords)
     return j.withColumn("_idx", F.col("_off") + F.row_number().over(wi) - 1).drop("_bkt", "_off"), st
 
 

@@ -28,10 +28,9 @@ def well_order(df: DataFrame, group: str = S.GROUP, seed: int = 42, partition: s
     h = md5_order(group, seed)
     # 52 leading bits of the md5 as an exact double, then the full hex and the id break ties
     key = F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double")
-    part = partition or "_all"
-    t = wells.withColumns({"_h": h, "_hk": key, **({} if partition else {"_all": F.lit(0)})})
+    t = wells.withColumns({"_h": h, "_hk": key})
     t = t.withColumn("_tie", F.concat(F.col("_h"), F.lit("|"), F.col(group).cast("string")))
-    idx, st = series_index(t, part, "_hk", bucket_rows=1_000_000, tie="_tie")
+    idx, st = series_index(t, partition, "_hk", bucket_rows=1_000_000, tie="_tie")
     return idx.select(*keys, F.col("_idx").cast("int").alias("rank"), F.col("_n").alias("n"))
 
 
