@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from depthkit.llm import bpe, packing, tokenfile
+from depthkit.llm import bpe, packing, quality, tokenfile
 from depthkit.llm.base import read
 
 QUERIES = {}
@@ -25,6 +25,11 @@ def byte_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op3_compression_bands(spark, sf_dir):
+    return quality.assess(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), word_vocabulary())
