@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from depthkit.llm import bpe, packing, quality, tokenfile
+from depthkit.llm import bpe, minhash, packing, quality, tokenfile
 from depthkit.llm.base import read
 
 QUERIES = {}
@@ -40,6 +40,11 @@ def op8_bpe(spark, sf_dir):
     return bpe.round_trip(read(spark, sf_dir, "documents"), word_vocabulary())
 
 
+@query
+def op9_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_token_file(spark, sf_dir):
     return tokenfile.round_trip(read(spark, sf_dir, "documents"), byte_vocabulary())
