@@ -162,3 +162,38 @@ def partition_offsets(totals: DataFrame, part: str, n: str) -> dict[int, int]:
 
 __all__ = ["ship", "read", "text_slices", "ragged", "mix", "prefix_sums", "raw_hash", "span_hashes",
            "words", "strings", "partition_offsets", "cut_lineage", "scratch_path"]
+
+
+def letter_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lowered bytes, starts, ends, rows) of the runs of letters of each row.
+
+    ASCII letters and all characters beyond ASCII count as letters; ASCII and Latin-1 letters
+    are lowered."""
+    low = data | ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+    lead = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
+    upper = lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97)]
+    low[upper] += 32
+    solid = ((low >= 97) & (low <= 122)) | (low >= 128)
+    if not solid.any():
+        z = np.zeros(0, np.int64)
+        return low, z, z, z
+    flag = np.ones(len(low), bool)
+    flag[1:] = solid[1:] != solid[:-1]
+    flag[offs[:-1][offs[:-1] < len(low)]] = True
+    s = np.flatnonzero(flag)
+    e = np.append(s[1:], len(low))
+    keep = solid[s]
+    s, e = s[keep], e[keep]
+    return low, s, e, np.searchsorted(offs, s, "right") - 1
+
+
+def labelled_sample(df: DataFrame, label: str, most: int, key: str = "doc_id") -> DataFrame:
+    """About ``most`` rows of each label, chosen by a hash of ``key`` over all rows.
+
+    The rate of each label is ``most`` / (its rows); one row per label reaches the driver."""
+    sizes = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    share = F.lit(0.0)
+    for value, n in sizes.items():
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return df.where(F.col(label).isNotNull() & (draw < share))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from depthkit.llm import bpe, lsh, minhash, packing, quality, tokenfile
+from depthkit.llm import bpe, langid, lsh, minhash, packing, quality, tokenfile
 from depthkit.llm.base import read
 
 QUERIES = {}
@@ -35,6 +35,11 @@ def op5_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), word_vocabulary())
 
 
+@query
+def op6_language_crf(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_cross_polytope(spark, sf_dir):
     return lsh.near_duplicates(read(spark, sf_dir, "embeddings"))
