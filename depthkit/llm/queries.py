@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from depthkit.llm import bpe, langid, lsh, minhash, packing, quality, tokenfile
+from depthkit.llm import bpe, langid, lsh, minhash, packing, quality, tokenfile, toxicity
 from depthkit.llm.base import read
 
 QUERIES = {}
@@ -30,6 +30,11 @@ def op3_compression_bands(spark, sf_dir):
     return quality.assess(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op5_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), word_vocabulary())
