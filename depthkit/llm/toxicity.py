@@ -26,7 +26,7 @@ BYTES = 10
 #: others share one, so what is not known as a word is judged by its bytes.
 WORD_TEXTS = 10
 #: Bounds of the training sample: texts of each label, windows cut from a text.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 1000, 24
+SAMPLE_TEXTS, SAMPLE_WINDOWS = 1000, 48
 _U = np.uint64
 
 
@@ -216,7 +216,7 @@ def score_slice(p: Params, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
 
 
 # ---- training --------------------------------------------------------------------------------
-def train(texts: list[tuple[int, str]], epochs: int = 9, batch: int = 96, rate: float = 0.01, seed: int = 5) -> Params:
+def train(texts: list[tuple[int, str]], epochs: int = 12, batch: int = 96, rate: float = 0.01, seed: int = 5) -> Params:
     """Fit on (label, text) pairs; the number of steps follows the bounded sample."""
     texts = [(y, t) for y, t in texts if t.split()]
     if not {y for y, _ in texts} >= {0, 1}:
@@ -277,8 +277,8 @@ def train(texts: list[tuple[int, str]], epochs: int = 9, batch: int = 96, rate:
             norm = np.sqrt(sum(float((x[1] if isinstance(x, tuple) else x).astype(np.float64).ravel() @ (x[1] if isinstance(x, tuple) else x).astype(np.float64).ravel()) for x in grads.values()))
             if norm > 1:
                 grads = {k2: (x[0], x[1] / norm) if isinstance(x, tuple) else x / norm for k2, x in grads.items()}
-            p.step(grads, rate * (1 if epoch < epochs - 4 else 0.3))
-    # move the bias so that 0.5 parts the sample's texts best
+            p.step(grads, rate * 0.75 ** max(0, epoch - 2))
+    # move the bias if another place than 0.5 parts the sample's texts better
     worst = np.full(len(texts), -np.inf)
     np.maximum.at(worst, w_row, window_logits(p, encode_words(p, bucket, letters), ids, first, count))
     order = np.argsort(worst)
@@ -286,7 +286,7 @@ def train(texts: list[tuple[int, str]], epochs: int = 9, batch: int = 96, rate:
     errors = np.concatenate([[0], np.cumsum(hit)]) / hit.sum() + (miss.sum() - np.concatenate([[0], np.cumsum(miss)])) / miss.sum()
     best = np.flatnonzero(errors == errors.min())
     cut = best[len(best) // 2]
-    if 0 < cut < len(order):
+    if 0 < cut < len(order) and errors[np.searchsorted(worst[order], 0)] > errors.min():
         p["ob"] -= np.float32((worst[order[cut - 1]] + worst[order[cut]]) / 2)
     return p
 
