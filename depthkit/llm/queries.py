@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from depthkit.llm import bpe, langid, lsh, minhash, packing, quality, tokenfile, toxicity
+from depthkit.llm import bpe, fixity, langid, lsh, minhash, packing, pii, quality, tokenfile, toxicity
 from depthkit.llm.base import read
 
 QUERIES = {}
@@ -25,6 +25,35 @@ def byte_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_weak_pii(spark, sf_dir):
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_merkle_fixity(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return fixity.audit(pages, fixity.damaged(pages, "url", "html"), "page_id", ["page_id", "url", "html"])
+
+
+ORACLES["op2_merkle_fixity"] = """
+WITH sides AS (
+  SELECT page_id, url, html, 1 AS a, 0 AS b FROM pages
+  UNION ALL
+  SELECT page_id, url, CASE WHEN substr(sha256(url), 1, 2) = '00' THEN substr(html, 2) || '~' ELSE html END, 0,
+         CASE WHEN substr(sha256(url), 1, 2) = '02' THEN 2 ELSE 1 END
+  FROM pages WHERE coalesce(substr(sha256(url), 1, 2), '') <> '01'
+), hashed AS (
+  SELECT page_id, a, b, sha256(concat_ws('|',
+    coalesce(strlen(page_id::VARCHAR) || ':' || page_id, '-'), coalesce(strlen(url) || ':' || url, '-'),
+    coalesce(strlen(html) || ':' || html, '-'))) AS record_sha256
+  FROM sides
+)
+SELECT page_id, record_sha256, sum(a)::BIGINT AS n_primary, sum(b)::BIGINT AS n_replica
+FROM hashed GROUP BY 1, 2 HAVING sum(a) <> sum(b)
+"""
+
+
 @query
 def op3_compression_bands(spark, sf_dir):
     return quality.assess(read(spark, sf_dir, "documents"))
