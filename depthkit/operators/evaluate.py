@@ -87,7 +87,7 @@ def residual_histogram(df: DataFrame, y: str, p: str, bins: int = 30, group: Seq
     keys = list(group)
     r = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*keys, (F.col(y) - F.col(p)).alias("_r"))
     st = r.groupBy(*keys).agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
-    j = r.join(F.broadcast(st), keys) if keys else r.crossJoin(F.broadcast(st))
+    j = r.join(st, keys) if keys else r.crossJoin(F.broadcast(st))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.floor(F.try_divide(F.col("_r") - F.col("_lo"), width)), F.lit(bins - 1))
     b = F.coalesce(b, F.lit(0)).cast("int")
@@ -111,9 +111,10 @@ def cv_summary(fold_metrics: DataFrame, model: str = "model", score: str = "r2")
 
 
 def best_by(df: DataFrame, key: str, score: str) -> DataFrame:
-    """O3: the key with the highest score (ties -> smallest key), as one row."""
-    return df.agg(F.max_by(F.struct(F.col(score), F.col(key)), F.struct(F.col(score), -F.hash(F.col(key)))).alias("_b")).select(
-        F.col("_b")[key].alias(key), F.col("_b")[score].alias(score))
+    """O3: the key with the highest score (ties -> smallest key), as one row; null scores never win."""
+    known = df.filter(F.col(score).isNotNull())
+    best = known.agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))).alias("_b"))
+    return best.filter(F.col("_b").isNotNull()).select(F.col("_b.k").alias(key), (-F.col("_b.s")).alias(score))
 
 
 def top_k(df: DataFrame, value: str, name: str = "feature", k: int = 10) -> DataFrame:

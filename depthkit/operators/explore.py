@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthkit import schema as S
-from depthkit.functions.exprs import ffill, full_frame, reverse_window, series_window
+from depthkit.functions.exprs import reverse_window, series_window
 from depthkit.functions.quantiles import group_quantiles
 
 
@@ -209,7 +209,7 @@ def gap_policy(df: DataFrame, x: str, group: str = S.GROUP, order: str = S.ORDER
     t = df.withColumns({"_p": F.last(pt, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
                         "_n": F.last(pt, True).over(reverse_window(group, order))})
     glen = F.col("_n.d") - F.col("_p.d")
-    interp = (F.col("_n.v") - F.col("_p.v")) / glen * (d - F.col("_p.d")) + F.col("_p.v")
+    interp = F.coalesce(F.try_divide(F.col("_n.v") - F.col("_p.v"), glen), F.lit(0.0)) * (d - F.col("_p.d")) + F.col("_p.v")
     filled = F.when(F.col(x).isNotNull(), F.col(x)).when(glen < interpolate_below, interp)
     dnt = F.col(x).isNull() & (F.col("_p").isNull() | F.col("_n").isNull() | (glen > exclude_above))
     return t.withColumns({f"{x}_filled": filled, "do_not_train": dnt}).drop("_p", "_n")
@@ -236,6 +236,3 @@ def neighbor_features(df: DataFrame, x: str, k: int = 3, group: str = S.GROUP, o
         cols[f"{x}_next_{j}"] = F.lead(x, j).over(w)
     return df.withColumns(cols)
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("F", "Window", "DataFrame", "Sequence", "S")]
-_ = (ffill, full_frame)

@@ -178,22 +178,25 @@ def lithology_features(df: DataFrame, thresholds: dict[str, float] = S.LITHOLOGY
 
 
 def ratio_curves(columns: Sequence[str], curves: Sequence[str] | None = None,
-                 max_curves: int = S.MAX_RATIO_CURVES) -> list[str]:
-    """Core curves in column order, capped (the cap keeps plans and widths bounded)."""
+                 max_curves: int | None = None) -> list[str]:
+    """Core curves in column order; ``max_curves`` limits their number only where the caller asks for it."""
     if curves is not None:
         return list(curves)
     return [c for c in columns if c in S.CORE_CURVES][:max_curves]
 
 
 def cross_curve_exprs(columns: Sequence[str], curves: Sequence[str] | None = None,
-                      max_features: int = S.MAX_RATIO_FEATURES) -> dict[str, Column]:
-    """P12 pairwise ratios A/(B+eps) and P13 petrophysical composites."""
-    core = ratio_curves(columns, curves)
+                      max_features: int | None = None, max_curves: int | None = None) -> dict[str, Column]:
+    """P12 pairwise ratios A/(B+eps) of all pairs of core curves, and P13 petrophysical composites.
+
+    The workflow this follows stops at ``schema.MAX_RATIO_CURVES`` curves and
+    ``schema.MAX_RATIO_FEATURES`` ratios; pass them to get the same columns."""
+    core = ratio_curves(columns, curves, max_curves)
     out: dict[str, Column] = {}
     if len(core) >= 2:
         for i, a in enumerate(core):
             for b in core[i + 1:]:
-                if len(out) >= max_features:
+                if max_features is not None and len(out) >= max_features:
                     break
                 out[f"{a}_{b}_ratio"] = safe_div(F.col(a), F.col(b) + S.RATIO_EPS)
     cols = set(columns)
@@ -206,8 +209,9 @@ def cross_curve_exprs(columns: Sequence[str], curves: Sequence[str] | None = Non
     return out
 
 
-def cross_curve_features(df: DataFrame, curves: Sequence[str] | None = None) -> DataFrame:
-    return df.withColumns(cross_curve_exprs(df.columns, curves))
+def cross_curve_features(df: DataFrame, curves: Sequence[str] | None = None, max_features: int | None = None,
+                         max_curves: int | None = None) -> DataFrame:
+    return df.withColumns(cross_curve_exprs(df.columns, curves, max_features, max_curves))
 
 
 HOT_GROUP_ROWS = 5_000_000

@@ -58,82 +58,98 @@ def curve_medians(df: DataFrame, curves: Sequence[str], group: str | None = S.GR
     return med.groupBy(*keys).agg(*[F.max(F.when(F.col("_curve") == c, F.col("_m"))).alias(f"_med_{c}") for c in curves])
 
 
+def _null_mask(curves: Sequence[str]):
+    """The row's null curves as bits."""
+    bits = [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(curves)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out + b
+    return out
+
+
+def imputation_plan(df: DataFrame, curves: Sequence[str], group: str = S.GROUP, threshold: float = S.IMPUTATION_THRESHOLD,
+                    interp_below: float = S.INTERPOLATE_BELOW_PCT, min_usable_rows: int = S.MIN_USABLE_ROWS) -> DataFrame:
+    """One row per group: the missing share of each curve (``_pct_<c>``) and which rows stay NULL.
+
+    All that the policy needs to know about a group is how many rows have each pattern of NULL
+    curves, so the rows are aggregated once, by (group, pattern).  Curves are then processed in
+    order on that table, as the policy does on the rows: a neighbour curve is available if more than half of its
+    rows have a value *by then*, and a row can be filled from neighbours if the curve or an
+    available neighbour has a value in it *by then*.  ``_stay`` maps patterns to the bits of
+    the curves that stay NULL (only patterns that have any)."""
+    t = df.groupBy(group, _null_mask(curves).alias("_mask")).agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(group)
+    t = t.withColumn("_rows", F.sum("_k").over(w))
+    null = [F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(curves))]
+    now = list(null)  # whether a pattern's rows are NULL in each curve, as processing goes on
+    count = lambda cond: F.sum(F.when(cond, F.col("_k")).otherwise(0)).over(w)
+    t = t.withColumns({f"_miss_{i}": count(null[i]) for i in range(len(curves))})
+    for i in range(len(curves)):
+        others = [j for j in range(len(curves)) if j != i]
+        t = t.withColumns({f"_av_{i}_{j}": count(~now[j]) > F.col("_rows") * 0.5 for j in others})
+        any_av, usable = F.lit(False), ~now[i]
+        for j in others:
+            any_av = any_av | F.col(f"_av_{i}_{j}")
+            usable = usable | (F.col(f"_av_{i}_{j}") & ~now[j])
+        t = t.withColumns({f"_use_{i}": usable, f"_any_{i}": any_av})
+        t = t.withColumn(f"_nuse_{i}", count(F.col(f"_use_{i}")))
+        pct = F.col(f"_miss_{i}") * 100.0 / F.col("_rows")
+        between = (pct >= interp_below) & (pct < threshold) & F.col(f"_any_{i}") & (F.col(f"_nuse_{i}") > min_usable_rows)
+        t = t.withColumn(f"_null_{i}", null[i] & ((between & ~F.col(f"_use_{i}")) | (F.col(f"_miss_{i}") == F.col("_rows"))))
+        now[i] = F.col(f"_null_{i}")
+    stay = F.lit(0).cast("long")
+    for i in range(len(curves)):
+        stay = stay + F.when(F.col(f"_null_{i}"), F.lit(1 << i)).otherwise(0).cast("long")
+    t = t.withColumn("_bits", stay)
+    return t.groupBy(group).agg(
+        *[F.first(F.col(f"_miss_{i}") * 100.0 / F.col("_rows")).alias(f"_pct_{c}") for i, c in enumerate(curves)],
+        F.map_from_entries(F.collect_list(F.when(F.col("_bits") != 0, F.struct("_mask", "_bits")))).alias("_stay"))
+
+
 def impute_policy(df: DataFrame, curves: Sequence[str] | None = None, group: str = S.GROUP, order: str = S.ORDER,
                   threshold: float = S.IMPUTATION_THRESHOLD, interp_below: float = S.INTERPOLATE_BELOW_PCT,
-                  with_flags: bool = False, materialize: bool = True):
+                  with_flags: bool = False, materialize: bool = True, min_usable_rows: int = S.MIN_USABLE_ROWS):
     """Per (group, curve) choose the fill by the curve's missing percentage.
 
     0 % -> unchanged; < ``interp_below`` -> W11; < ``threshold`` -> neighbour-curve branch;
     otherwise median fill plus a ``high_missing`` flag (A9).  In the neighbour-curve branch
     the workflow fills medians before its KNN step, so the effective result is the median,
-    except rows where the curve and all usable neighbour curves (> 50 % complete) are NULL,
-    which stay NULL (when more than 10 rows are usable).  Curves are processed in order, so
-    a curve already processed counts as complete once it has any value.
-    """
+    except rows in which the curve and all available neighbours are NULL: they stay NULL if
+    more than ``min_usable_rows`` rows are usable (see ``imputation_plan``).  A curve without
+    any value stays NULL."""
     curves = list(curves) if curves is not None else numeric_curves(df)
     if materialize:
         from depthkit.session import cut_lineage
-        df = cut_lineage(df, "impute-input")  # read by four passes
-    n = F.count(F.lit(1))
-    stats = df.groupBy(group).agg(n.alias("_rows"), *[F.count(F.col(c)).alias(f"_nn_{c}") for c in curves])
-    meds = curve_medians(df, curves, group)
-    stats = stats.join(meds, group, "left")
-    pct = {c: (F.col("_rows") - F.col(f"_nn_{c}")) * 100.0 / F.col("_rows") for c in curves}
-    avail_cols = {}
-    for i, c in enumerate(curves):
-        for j, e in enumerate(curves):
-            if e == c:
-                continue
-            if j < i:
-                avail_cols[f"_av_{c}_{e}"] = F.col(f"_nn_{e}") > 0
-            else:
-                avail_cols[f"_av_{c}_{e}"] = F.col(f"_nn_{e}") > F.col("_rows") * 0.5
-        avail_cols[f"_pct_{c}"] = pct[c]
-    stats = stats.select("*", *[v.alias(k) for k, v in avail_cols.items()])
-    # rows usable for the neighbour branch: the curve or any usable neighbour non-null
-    rows = df.join(stats, group)
-    usable = {}
-    for i, c in enumerate(curves):
-        cond = F.col(c).isNotNull()
-        for j, e in enumerate(curves):
-            if j < i:  # already processed and filled wherever it has any value
-                cond = cond | F.col(f"_av_{c}_{e}")
-            elif j > i:
-                cond = cond | (F.col(f"_av_{c}_{e}") & F.col(e).isNotNull())
-        usable[c] = cond
-    valid = rows.groupBy(group).agg(*[F.count_if(usable[c]).alias(f"_valid_{c}") for c in curves])
-    stats = stats.join(valid, group)
-    rows = df.join(stats, group)
-    w = series_window(group, order)
-    rows = rows.withColumn("_pos", F.row_number().over(w))
-    interp = interpolate_exprs(curves, group, order, "_pos")
+        df = cut_lineage(df, "impute-input")  # read by the plan, the medians and the fill
+    plan = imputation_plan(df, curves, group, threshold, interp_below, min_usable_rows)
+    stats = plan.join(curve_medians(df, curves, group), group, "left")
+    if materialize:
+        stats = cut_lineage(stats, "impute-plan")  # one row per group
+    rows = df.withColumn("_mask", _null_mask(curves)).join(stats, group, "left")  # rows without a group stay as they are
+    # only curves that some group interpolates need the neighbours of a gap
+    small = stats.agg(*[F.max((F.col(f"_pct_{c}") > 0) & (F.col(f"_pct_{c}") < interp_below)).alias(c) for c in curves]).first()
+    gaps = [c for c in curves if small[c]]
+    if gaps:
+        rows = rows.withColumn("_pos", F.row_number().over(series_window(group, order)))
+    interp = interpolate_exprs(gaps, group, order, "_pos")
+    kept = F.coalesce(F.element_at("_stay", F.col("_mask")), F.lit(0).cast("long"))
     out = {}
     for i, c in enumerate(curves):
-        p = F.col(f"_pct_{c}")
-        med = F.col(f"_med_{c}")
-        any_avail = None
-        for e in curves:
-            if e != c:
-                a = F.col(f"_av_{c}_{e}")
-                any_avail = a if any_avail is None else any_avail | a
-        keep_null = F.lit(False)
-        if any_avail is not None:
-            keep_null = any_avail & (F.col(f"_valid_{c}") > 10) & ~usable[c]
-        mid = F.when(keep_null, F.col(c)).otherwise(F.coalesce(F.col(c), med))
-        out[c] = (
-            F.when(p == 0, F.col(c))
-            .when(p < interp_below, interp[c])
-            .when(p < threshold, mid)
-            .otherwise(F.coalesce(F.col(c), med))
-        )
+        p, med = F.col(f"_pct_{c}"), F.coalesce(F.col(c), F.col(f"_med_{c}"))
+        filled = F.when(kept.bitwiseAND(F.lit(1 << i)) != 0, F.col(c)).otherwise(med)
+        out[c] = F.when(p < interp_below, interp[c]).otherwise(filled) if c in gaps else filled
     res = rows.withColumns(out).select(*df.columns)
     if not with_flags:
         return res
+    return res, missing_flags(stats, curves, group, threshold)
+
+
+def missing_flags(stats: DataFrame, curves: Sequence[str], group: str, threshold: float) -> DataFrame:
+    """(group, curve, issue, percentage) of the curves at or above the threshold."""
     flags = stats.select(group, F.explode(F.array(*[
         F.struct(F.lit(c).alias("curve"), F.col(f"_pct_{c}").alias("percentage")) for c in curves])).alias("_f"))
-    flags = flags.filter(F.col("_f.percentage") >= threshold).select(
+    return flags.filter(F.col("_f.percentage") >= threshold).select(
         group, F.col("_f.curve").alias("curve"), F.lit("high_missing").alias("issue"), F.col("_f.percentage").alias("percentage"))
-    return res, flags
 
 
 def impute_median(df: DataFrame, curves: Sequence[str], group: str | None = S.GROUP) -> DataFrame:

@@ -66,7 +66,8 @@ def zscore_filter(df: DataFrame, target: str = S.TARGET, k: float = S.ZSCORE_THR
     """Drop rows whose target has |z| > k (population std); NULL targets are kept."""
     st = df.agg(F.avg(target).alias("_m"), F.stddev_pop(target).alias("_s"))
     j = df.crossJoin(F.broadcast(st))
-    z = F.abs(F.col(target) - F.col("_m")) / F.col("_s")
+    # a constant target has no deviation: nothing is an outlier then
+    z = F.coalesce(F.try_divide(F.abs(F.col(target) - F.col("_m")), F.col("_s")), F.lit(0.0))
     return j.filter(F.col(target).isNull() | (z <= k)).select(*df.columns)
 
 
@@ -120,7 +121,8 @@ def boxcox_transform(df: DataFrame, x: str, lam: float | None = None, standardiz
     res = df.withColumn(out, y)
     if standardize:
         st = res.agg(F.avg(out).alias("_m"), F.stddev_pop(out).alias("_s"))
-        res = res.crossJoin(F.broadcast(st)).withColumn(out, (F.col(out) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+        res = res.crossJoin(F.broadcast(st)).withColumn(
+            out, (F.col(out) - F.col("_m")) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
     return res, lam
 
 

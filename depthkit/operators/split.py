@@ -24,7 +24,7 @@ def well_order(df: DataFrame, group: str = S.GROUP, seed: int = 42, partition: s
     order key and ``blocked.series_index`` numbers rows through bucket counts and offsets."""
     from depthkit.operators.blocked import series_index
     keys = [group] + ([partition] if partition else [])
-    wells = df.groupBy(group).agg(*([F.first(partition).alias(partition)] if partition else [])) if partition else df.select(group).distinct()
+    wells = df.groupBy(group).agg(*([F.min(partition).alias(partition)] if partition else [])) if partition else df.select(group).distinct()
     h = md5_order(group, seed)
     # 52 leading bits of the md5 as an exact double, then the full hex and the id break ties
     key = F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double")

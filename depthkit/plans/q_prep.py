@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from depthkit import schema as S
 from depthkit.operators import impute as IM
 from depthkit.operators import resample as RS
 from depthkit.plans.common import E, L, L_CURVES, R, register, round_doubles, sql
@@ -80,45 +81,38 @@ def interpolate_index(spark, sf):
     return round_doubles(IM.interpolate_index(df, ["GR"]))
 
 
-def _impute_sql(threshold: float = 20.0) -> str:
-    cs = L_CURVES
-    st = ", ".join([f"count({c}) AS nn_{c}, median({c}) AS med_{c}" for c in cs])
-    av = []
-    for i, c in enumerate(cs):
-        av.append(f"(rows_ - nn_{c}) * 100.0 / rows_ AS pct_{c}")
-        for j, e in enumerate(cs):
-            if e == c:
-                continue
-            av.append(f"nn_{e} > 0 AS av_{c}_{e}" if j < i else f"nn_{e} > rows_ * 0.5 AS av_{c}_{e}")
-    usable = {}
+#: Curves that are NULL in the same rows, so that rows without any usable neighbour occur.
+SHARED = {"RHOB": "GR", "PE": "GR"}
+
+
+def _impute_sql(threshold: float = 20.0, shared: dict[str, str] | None = None, cs: list[str] | None = None) -> str:
+    """The policy step by step on the rows: one set of CTEs per curve, each reading the last one's result."""
+    cs = cs or L_CURVES
+    src = ", ".join(f"CASE WHEN {shared[c]} IS NULL THEN NULL ELSE {c} END AS {c}" if shared and c in shared else c for c in cs)
+    parts = [f"src AS (SELECT well_api, DEPTH, {src} FROM l)",
+             "m AS (SELECT well_api, " + ", ".join(f"median({c}) AS med_{c}" for c in cs) + " FROM src GROUP BY well_api)",
+             f"t0 AS (SELECT *, row_number() OVER ({W}) AS pos FROM src)"]
     for i, c in enumerate(cs):
-        terms = [f"{c} IS NOT NULL"]
-        for j, e in enumerate(cs):
-            if j < i:
-                terms.append(f"av_{c}_{e}")
-            elif j > i:
-                terms.append(f"(av_{c}_{e} AND {e} IS NOT NULL)")
-        usable[c] = "(" + " OR ".join(terms) + ")"
-    interp = {}
-    for c in cs:
-        interp.update(_interp_sql(c))
-    pol = []
-    for c in cs:
-        any_av = " OR ".join(f"av_{c}_{e}" for e in cs if e != c)
-        keep_null = f"(({any_av}) AND valid_{c} > 10 AND NOT usable_{c})"
-        mid = f"CASE WHEN {keep_null} THEN {c} ELSE coalesce({c}, med_{c}) END"
-        pol.append(R(f"""CASE WHEN pct_{c} = 0 THEN {c} WHEN pct_{c} < 5 THEN {_interp_value(c)}
-                     WHEN pct_{c} < {threshold} THEN {mid} ELSE coalesce({c}, med_{c}) END""") + f" AS {c}")
-    return sql(f""",
-st AS (SELECT well_api, count(*) AS rows_, {st} FROM l GROUP BY well_api),
-av AS (SELECT *, {", ".join(av)} FROM st),
-j AS (SELECT l.*, av.* EXCLUDE (well_api), {", ".join(f"{v} AS usable_{k}" for k, v in usable.items())},
-             row_number() OVER ({W}) AS pos
-      FROM l JOIN av USING (well_api)),
-vc AS (SELECT well_api, {", ".join(f"count(*) FILTER (WHERE usable_{c}) AS valid_{c}" for c in cs)} FROM j GROUP BY well_api),
-k AS (SELECT j.*, vc.* EXCLUDE (well_api), {", ".join(f"{v} AS {k}" for k, v in interp.items())}
-      FROM j JOIN vc USING (well_api))
-SELECT well_api, {R("DEPTH")} AS DEPTH, {", ".join(pol)} FROM k""")
+        others = [e for e in cs if e != c]
+        av = ", ".join(f"count({e}) OVER p > count(*) OVER p * 0.5 AS av_{e}" for e in others)
+        near = ", ".join(f"{v} AS {k}" for k, v in _interp_sql(c).items())
+        usable = " OR ".join([f"{c} IS NOT NULL", *(f"(av_{e} AND {e} IS NOT NULL)" for e in others)])
+        parts += [
+            f"a{i} AS (SELECT *, (count(*) OVER p - count({c}) OVER p) * 100.0 / count(*) OVER p AS pct, {av}, {near} "
+            f"FROM t{i} WINDOW p AS (PARTITION BY well_api))",
+            f"b{i} AS (SELECT *, ({usable}) AS usable, ({' OR '.join(f'av_{e}' for e in others)}) AS any_av FROM a{i})",
+            f"d{i} AS (SELECT *, count(*) FILTER (WHERE usable) OVER (PARTITION BY well_api) AS nuse FROM b{i})",
+            f"t{i + 1} AS (SELECT well_api, DEPTH, pos, {', '.join(others)}, CASE WHEN pct = 0 THEN {c} WHEN pct < 5 THEN {_interp_value(c)} "
+            f"WHEN pct < {threshold} AND any_av AND nuse > 10 AND NOT usable THEN NULL ELSE coalesce({c}, med_{c}) END AS {c} "
+            f"FROM d{i} JOIN m USING (well_api))"]
+    return sql(", " + ", ".join(parts) + " SELECT well_api, " + R("DEPTH") + " AS DEPTH, " + ", ".join(f"{R(c)} AS {c}" for c in cs) + f" FROM t{len(cs)}")
+
+
+@register("impute_shared_nulls", _impute_sql(shared=SHARED))
+def impute_shared_nulls(spark, sf):
+    df = L(spark, sf).drop("operator_id")
+    df = df.withColumns({c: F.when(F.col(by).isNotNull(), F.col(c)) for c, by in SHARED.items()})
+    return round_doubles(IM.impute_policy(df, L_CURVES))
 
 
 @register("impute_policy", _impute_sql())
@@ -142,5 +136,5 @@ def impute_median(spark, sf):
     + ") WHERE pct >= 20"))
 def quality_flags(spark, sf):
     df = L(spark, sf).drop("operator_id")
-    _, flags = IM.impute_policy(df, L_CURVES, with_flags=True)
-    return round_doubles(flags)
+    plan = IM.imputation_plan(df, L_CURVES)
+    return round_doubles(IM.missing_flags(plan, L_CURVES, "well_api", S.IMPUTATION_THRESHOLD))

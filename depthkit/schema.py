@@ -41,7 +41,8 @@ SEQUENCE_LENGTH = 50
 SEQUENCE_STEP = 1
 DEPTH_WINDOW = (4000.0, 12000.0)
 RATIO_EPS = 1e-8
-MAX_RATIO_CURVES = 6
+MIN_USABLE_ROWS = 10  # neighbour branch of the imputation policy: more rows than this
+MAX_RATIO_CURVES = 6  # limits of the workflow, not applied unless passed
 MAX_RATIO_FEATURES = 20
 ZSCORE_THRESHOLD = 3.0
 

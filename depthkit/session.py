@@ -7,13 +7,11 @@ the cluster names.  Only when that setting is missing (local tests) do we pick a
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DEFAULT = "/tmp/depthkit-checkpoints"
-
 
 def get_spark(app: str = "depthkit", master: str | None = None, partitions: int | None = None,
               driver_memory: str | None = None) -> SparkSession:
@@ -40,10 +38,15 @@ def get_spark(app: str = "depthkit", master: str | None = None, partitions: int
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's setting, or a local default when unset."""
+    """The shared checkpoint folder: the session's setting.
+
+    A local session without one gets a folder of its own under the system's temp folder.  On a
+    cluster the setting is required: a folder that only the driver has would lose rows."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = _LOCAL_DEFAULT
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="depthkit-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
@@ -68,8 +71,4 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def local_path(p: str) -> str:
-    return p[len("file:"):] if p.startswith("file:") else p
-
-
-__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "cut_lineage", "local_path", "os"]
+__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "cut_lineage"]
