@@ -3,10 +3,11 @@
 ``partitionBy(well)`` puts a whole well in one task.  When one well may hold a large share of
 the table, the series is cut into fixed-size row blocks instead:
 
-1. exact row index per well without a per-well task: rows are bucketed by depth (bucket
-   width chosen per well from its count and span), bucket sizes are counted, offsets are a
-   running sum over the small (well, bucket) table, and the index is ``offset +
-   row_number()`` inside each bucket;
+1. exact row index per well without a per-well task: rows are bucketed by depth, bucket sizes
+   are counted, offsets are a running sum over the small (well, bucket) table, and the index
+   is ``offset + row_number()`` inside each bucket.  Bucket borders are quantiles of each
+   large well's own depths, so an outlier does not widen them; null depths are a bucket of
+   their own, before all others, and null wells are a series like any other;
 2. block = index div B; the ``halo`` rows on each side of a block are copied into it, so
    every bounded frame of a core row is complete inside its block;
 3. unbounded look-backs (forward fill) are exact by combining an in-block fill with a
@@ -26,26 +27,52 @@ from pyspark.sql import functions as F
 from depthkit import schema as S
 from depthkit.functions.exprs import flag, safe_div
 from depthkit.operators.features import cross_curve_exprs, lithology_exprs, rolling_exprs
+from depthkit.session import cut_lineage
+
+
+#: Most buckets that a series is cut into; a bucket holds about max(bucket_rows, n / MAX_BUCKETS) rows.
+MAX_BUCKETS = 1000
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null keys equal to each other; keeps the left side's keys."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def series_index(df: DataFrame, group: str | None = S.GROUP, order: str = S.ORDER, bucket_rows: int = 1_000_000,
                  tie: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Add ``_idx`` (0-based position in the group's order; ``group=None``: in the whole
-    table) and ``_n``/``_dmin``/``_dmax``; also return the group stats."""
+    table) and ``_n``/``_dmin``/``_dmax``; also return the group stats.
+
+    Rows with equal ``order`` (and ``tie``) get neighbouring positions in some order and share
+    a bucket."""
     keys = [group] if group else []
     st = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_dmin"), F.max(order).alias("_dmax"))
-    width = (F.col("_dmax") - F.col("_dmin")) * F.lit(float(bucket_rows)) / F.col("_n")
+    biggest = st.agg(F.max("_n")).first()[0] or 0
+    buckets = min(MAX_BUCKETS, -(-biggest // bucket_rows))  # only how finely series are cut; the rows are the same
+    if buckets > 1:
+        large = join_null_safe(df, st.filter(F.col("_n") > bucket_rows).select(*keys), keys, "left_semi") if keys else df
+        probs = [i / buckets for i in range(1, buckets)]
+        cuts = large.groupBy(*keys).agg(F.percentile_approx(order, probs, max(10_000, 10 * buckets)).alias("_cuts"))
+        st = join_null_safe(st, cuts, keys, "left") if keys else st.crossJoin(F.broadcast(cuts))
+        st = cut_lineage(st, "series")  # borders come from a sketch: fix them for both of their uses
+    else:
+        st = st.withColumn("_cuts", F.lit(None).cast("array<double>"))
     # per-group stats: a join (broadcast only if Catalyst measures it small); global: one row
-    j = df.join(st, keys) if keys else df.crossJoin(F.broadcast(st))
-    bucket = F.when(width > 0, F.floor((F.col(order) - F.col("_dmin")) / width)).otherwise(F.lit(0)).cast("long")
-    j = j.withColumn("_bkt", bucket)
+    j = join_null_safe(df, st, keys) if keys else df.crossJoin(F.broadcast(st))
+    above = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(order)))
+    j = j.withColumn("_bkt", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(above).cast("long")).drop("_cuts")
     counts = j.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
-    j = j.join(offsets, [*keys, "_bkt"])
+    j = join_null_safe(j, offsets, [*keys, "_bkt"])
     ords = [F.col(order)] + ([F.col(tie)] if tie else [])
     wi = Window.partitionBy(*keys, "_bkt").orderBy(*ords)
-    return j.withColumn("_idx", F.col("_off") + F.row_number().over(wi) - 1).drop("_bkt", "_off"), st
+    return j.withColumn("_idx", F.col("_off") + F.row_number().over(wi) - 1).drop("_bkt", "_off"), st.drop("_cuts")
 
 
 def with_blocks(indexed: DataFrame, block_rows: int, halo: int) -> DataFrame:
@@ -82,7 +109,7 @@ def carried_ffill(df: DataFrame, cols: Sequence[str], group: str, block_rows: in
         carry[f"_cin_{c}"] = F.coalesce(F.col(f"_le_{c}"), older)
     # carry into block b = summary of block b-1 (early part) or anything older
     summ = summ.select(group, (F.col("_blk") + 1).alias("_blk"), *[v.alias(k) for k, v in carry.items()])
-    j = df.join(summ, [group, "_blk"], "left")
+    j = join_null_safe(df, summ, [group, "_blk"], "left")
     w = Window.partitionBy(group, "_blk").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
     edge = F.col("_idx") == F.col("_blk") * B - halo  # outer leading edge: derived values incomplete there
     out = {}
@@ -96,13 +123,15 @@ def engineer_features_blocked(df: DataFrame, target: str = S.TARGET, windows: Se
                               lags: Sequence[int] = S.DIFF_LAGS, group: str = S.GROUP, order: str = S.ORDER,
                               depth_window: tuple[float, float] = S.DEPTH_WINDOW, quantiles: bool = True,
                               ratio_curves_: Sequence[str] | None = None, block_rows: int = 1_000_000,
-                              halo: int | None = None) -> DataFrame:
-    """Same output as ``features.engineer_features`` with bounded tasks for any group size."""
+                              halo: int | None = None, tie: str | None = None) -> DataFrame:
+    """All per-row features of one target with bounded tasks for any group size.
+
+    Rows with a null group are one series; rows with a null ``order`` come first in theirs."""
     t = target
     back = max([w - 1 - (w - 1) // 2 for w in windows] + [max(lags) if lags else 0])
     halo = halo or (back + 6)
     base_cols = list(df.columns)
-    idx, st = series_index(df, group, order, bucket_rows=block_rows)
+    idx, st = series_index(df, group, order, bucket_rows=block_rows, tie=tie)
     b = with_blocks(idx, block_rows, halo)
     w = Window.partitionBy(group, "_blk").orderBy("_idx")
     roll = rolling_exprs(t, w, windows, quantiles)
@@ -142,8 +171,3 @@ def engineer_features_blocked(df: DataFrame, target: str = S.TARGET, windows: Se
     return core.select(*base_cols, *roll, *grad_names, *[v.alias(k) for k, v in depth.items()],
                        *[v.alias(k) for k, v in litho.items()], *[v.alias(k) for k, v in cross.items()])
 
-
-def max_group_rows(df: DataFrame, group: str = S.GROUP) -> int:
-    """Size of the largest group (one small aggregate; used to pick the blocked plan)."""
-    r = df.groupBy(group).count().agg(F.max("count").alias("m")).first()
-    return int(r["m"] or 0)

@@ -75,10 +75,6 @@ def pct_change_expr(f: str, w: WindowSpec, lag: int) -> Column:
 # --------------------------------------------------------------------------- operators
 
 
-def _max_group(df: DataFrame, group: str) -> int:
-    from depthkit.operators.blocked import max_group_rows
-    return max_group_rows(df, group)
-
 
 def rolling_features(df: DataFrame, target: str = S.TARGET, windows: Sequence[int] = S.ROLLING_WINDOWS,
                      group: str = S.GROUP, order: str = S.ORDER, quantiles: bool = True) -> DataFrame:
@@ -214,24 +210,22 @@ def cross_curve_features(df: DataFrame, curves: Sequence[str] | None = None, max
     return df.withColumns(cross_curve_exprs(df.columns, curves, max_features, max_curves))
 
 
-HOT_GROUP_ROWS = 5_000_000
-
-
 def engineer_features(df: DataFrame, target: str = S.TARGET, windows: Sequence[int] = S.ROLLING_WINDOWS,
                       lags: Sequence[int] = S.DIFF_LAGS, group: str = S.GROUP, order: str = S.ORDER,
                       depth_window: tuple[float, float] = S.DEPTH_WINDOW, quantiles: bool = True,
-                      ratio_curves_: Sequence[str] | None = None, skew: str = "auto",
-                      block_rows: int = 1_000_000) -> DataFrame:
-    """All per-row features of one target in three window levels over one shuffle.
-
-    ``skew="auto"`` measures the largest group first and switches to the blocked plan
-    (``operators.blocked``) when it exceeds ``HOT_GROUP_ROWS``; ``"on"`` forces it.
-    """
-    if skew == "on" or (skew == "auto" and _max_group(df, group) > HOT_GROUP_ROWS):
+                      ratio_curves_: Sequence[str] | None = None, skew: str = "on",
+                      block_rows: int = 1_000_000, tie: str | None = None) -> DataFrame:
+    """All per-row features of one target.
+
+    By default series are cut into blocks (``operators.blocked``), so that a task's size does
+    not depend on the largest group.  ``skew="off"`` keeps a group in one task, in three window
+    levels over one shuffle: the same rows, for callers who know that groups are small.
+    ``tie`` orders rows of equal depth."""
+    if skew == "on":
         from depthkit.operators.blocked import engineer_features_blocked
         return engineer_features_blocked(df, target, windows, lags, group, order, depth_window, quantiles,
-                                         ratio_curves_, block_rows=block_rows)
-    w = series_window(group, order)
+                                         ratio_curves_, block_rows=block_rows, tie=tie)
+    w = series_window(group, [order, tie] if tie else order)
     t = target
     base_cols = list(df.columns)
     roll = rolling_exprs(t, w, windows, quantiles)

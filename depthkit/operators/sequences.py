@@ -19,10 +19,11 @@ from depthkit.functions.exprs import full_frame, series_window
 
 def sequences(df: DataFrame, features: Sequence[str], target: str = S.TARGET, length: int = S.SEQUENCE_LENGTH,
               step: int = S.SEQUENCE_STEP, group: str = S.GROUP, order: str = S.ORDER,
-              carry: Sequence[str] = (), skew: str = "off", block_rows: int = 1_000_000) -> DataFrame:
+              carry: Sequence[str] = (), skew: str = "on", block_rows: int = 1_000_000) -> DataFrame:
     """(group, depth, [carry], sequence_idx, sequence array<array<double>>, features_used, target).
 
-    ``skew="on"`` uses the blocked plan (bounded tasks for hot groups, same result)."""
+    Series are cut into blocks, so no task holds a whole group; ``skew="off"`` is the plan
+    with one task per group, for callers who know that groups are small (same result)."""
     if skew == "on":
         return _sequences_blocked(df, features, target, length, step, group, order, carry, block_rows)
     w = series_window(group, order)
@@ -47,12 +48,12 @@ def sequences(df: DataFrame, features: Sequence[str], target: str = S.TARGET, le
 def _sequences_blocked(df, features, target, length, step, group, order, carry, block_rows):
     """W15 on (group, block) partitions: exact index, look-back halo of ``length`` rows, the
     per-group completeness mask and the kept-sequence numbering from small aggregates."""
-    from depthkit.operators.blocked import series_index, with_blocks
+    from depthkit.operators.blocked import join_null_safe, series_index, with_blocks
 
     feats = list(features)
     idx, st = series_index(df, group, order, bucket_rows=block_rows)
     masks = df.groupBy(group).agg(*[F.min(F.col(c).isNotNull().cast("int")).alias(f"_ok_{c}") for c in feats])
-    b = with_blocks(idx, block_rows, length).join(masks, group)
+    b = join_null_safe(with_blocks(idx, block_rows, length), masks, [group])
     w = Window.partitionBy(group, "_blk").orderBy("_idx")
     vec = F.filter(F.array(*[F.when(F.col(f"_ok_{c}") == 1, F.col(c).cast("double")) for c in feats]), lambda x: x.isNotNull())
     used = F.filter(F.array(*[F.when(F.col(f"_ok_{c}") == 1, F.lit(c)) for c in feats]), lambda x: x.isNotNull())
@@ -65,7 +66,7 @@ def _sequences_blocked(df, features, target, length, step, group, order, carry,
     per_blk = kept.groupBy(group, "_blk").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_blk.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
-    kept = kept.join(offs, [group, "_blk"])
+    kept = join_null_safe(kept, offs, [group, "_blk"])
     wk = Window.partitionBy(group, "_blk").orderBy("_idx")
     return kept.select(group, F.col(order).alias("depth"), *carry,
                        (F.col("_off") + F.row_number().over(wk) - 1).cast("int").alias("sequence_idx"),

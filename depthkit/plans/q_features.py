@@ -188,3 +188,28 @@ def well_features_blocked_df(spark, sf):
 
 
 register("well_features_blocked", _well_features_sql())(well_features_blocked_df)
+
+
+#: A third of all wells are one, some wells and depths are NULL, and depths tie (``src_row`` orders them).
+HOT_SQL = (", hot AS (SELECT CASE WHEN src_row % 41 = 0 THEN NULL WHEN well_api % 3 = 0 THEN 0 ELSE well_api END AS well_api, src_row, "
+           "CASE WHEN src_row % 37 = 0 THEN NULL ELSE floor(DEPTH) END AS DEPTH, GR FROM e)")
+
+
+def _hot_features_sql() -> str:
+    body = _well_features_sql().replace(W, W + " NULLS FIRST, src_row")
+    body = body.replace(", src AS (SELECT well_api, DEPTH, ", HOT_SQL + ", src AS (SELECT well_api, src_row, DEPTH, ").replace("AS GR FROM e), ", "AS GR FROM hot), ")
+    body = body.replace(DEPTH_SQL["in_depth_window"], f"coalesce({DEPTH_SQL['in_depth_window']}, 0)")
+    return body.replace("SELECT well_api, " + R("DEPTH") + " AS DEPTH, " + R("GR"), "SELECT well_api, src_row, " + R("DEPTH") + " AS DEPTH, " + R("GR"))
+
+
+def hot_well_df(spark, sf):
+    e = E(spark, sf)
+    well = F.when(F.col("src_row") % 41 == 0, F.lit(None)).when(F.col("well_api") % 3 == 0, F.lit(0)).otherwise(F.col("well_api"))
+    depth = F.when(F.col("src_row") % 37 == 0, F.lit(None)).otherwise(F.floor("DEPTH").cast("double"))
+    return e.select(well.cast("long").alias("well_api"), "src_row", depth.alias("DEPTH"), "GR")
+
+
+@register("well_features_hot", _hot_features_sql())
+def well_features_hot(spark, sf):
+    """One hot well, null wells, null depths and tied depths through the block plan."""
+    return round_doubles(FE.engineer_features(clip_ranges(hot_well_df(spark, sf)), "GR", block_rows=64, tie="src_row"))
