@@ -82,6 +82,13 @@ def band_r2(df: DataFrame, y: str, p: str, group: Sequence[str] = ()) -> DataFra
         n.alias("n"), (1 - F.try_divide(F.sum(r * r), F.var_pop(y) * n)).alias("r2"), F.sqrt(F.avg(r * r)).alias("rmse"))
 
 
+def original_scale_metrics(df: DataFrame, y: str, p: str, lam: float, mean: float, std: float, group: Sequence[str] = ()) -> DataFrame:
+    """``regression_metrics`` after undoing standardization and Box-Cox on both columns."""
+    from depthkit.operators.scale import inverse_boxcox
+    back = df.withColumns({y: inverse_boxcox(F.col(y), lam, mean, std), p: inverse_boxcox(F.col(p), lam, mean, std)})
+    return regression_metrics(back, y, p, group)
+
+
 def residual_histogram(df: DataFrame, y: str, p: str, bins: int = 30, group: Sequence[str] = ()) -> DataFrame:
     """Equal-width histogram of residuals between their min and max (last bin closed)."""
     keys = list(group)

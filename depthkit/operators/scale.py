@@ -62,6 +62,39 @@ def scale_robust(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None =
     return j.withColumns(out).select(*df.columns)
 
 
+# ------------------------------------------------------------------- fitted scalers (K6)
+
+
+def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard") -> DataFrame:
+    """(kind, feature, center, scale), a row per column, fitted on ``df`` (the training rows).
+
+    A scale of 0 (a constant column) becomes 1.  The table can be written, read and applied to
+    other rows, such as new wells."""
+    if kind == "standard":
+        st = df.agg(*[F.struct(F.avg(c).alias("c"), F.stddev_pop(c).alias("s")).alias(c) for c in cols])
+    elif kind == "minmax":
+        st = df.agg(*[F.struct(F.min(c).cast("double").alias("c"), (F.max(c) - F.min(c)).cast("double").alias("s")).alias(c) for c in cols])
+    elif kind == "robust":
+        stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+        q = group_quantiles(df.selectExpr(f"stack({len(cols)}, {stack}) as (_c, _v)"), ["_c"], "_v", [0.25, 0.5, 0.75], ["_q1", "_med", "_q3"])
+        st = q.agg(*[F.max(F.when(F.col("_c") == c, F.struct(F.col("_med").alias("c"), (F.col("_q3") - F.col("_q1")).alias("s")))).alias(c) for c in cols])
+    else:
+        raise ValueError(f"unknown scaler {kind}")
+    long = st.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`.c").alias("center"), F.col(f"`{c}`.s").alias("scale")) for c in cols])).alias("r"))
+    return long.select(F.lit(kind).alias("kind"), "r.feature", "r.center", F.when(F.col("r.scale") == 0, 1.0).otherwise(F.col("r.scale")).alias("scale"))
+
+
+def apply_scaler(df: DataFrame, scaler: DataFrame, inverse: bool = False) -> DataFrame:
+    """``df`` with the scaler's columns scaled, or scaled back; the table has a row per column."""
+    rows = scaler.select("feature", "center", "scale").collect()
+    out = {}
+    for r in rows:
+        if r["feature"] in df.columns and r["center"] is not None:
+            x, c, s = F.col(r["feature"]), F.lit(r["center"]), F.lit(r["scale"])
+            out[r["feature"]] = x * s + c if inverse else (x - c) / s
+    return df.withColumns(out)
+
+
 def zscore_filter(df: DataFrame, target: str = S.TARGET, k: float = S.ZSCORE_THRESHOLD) -> DataFrame:
     """Drop rows whose target has |z| > k (population std); NULL targets are kept."""
     st = df.agg(F.avg(target).alias("_m"), F.stddev_pop(target).alias("_s"))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from depthkit.functions.exprs import boxcox_expr
 from depthkit.operators import impute as IM
 from depthkit.operators import scale as SC
 from depthkit.operators import split as SP
+from depthkit.operators.evaluate import original_scale_metrics
+from depthkit.operators.models import with_folds
 from depthkit.plans.common import E, L, L_CURVES, R, register, round_doubles, sql
+from depthkit.session import scratch_path
+from depthkit.sinks.writers import write_table
 
 MD5 = "md5(CAST(well_api AS VARCHAR) || ':42')"
 
@@ -106,6 +111,37 @@ _scale_q("minmax", SC.scale_minmax)
 _scale_q("robust", SC.scale_robust)
 
 
+TRAIN_CTE = """, f AS (
+  SELECT well_api, (row_number() OVER (ORDER BY md5(CAST(well_api AS VARCHAR) || ':42')) - 1) % 5 AS fold FROM (SELECT DISTINCT well_api FROM l)),
+tr AS (SELECT l.* FROM l JOIN f USING (well_api) WHERE fold <> 0)"""
+
+
+@register("scaler_saved", sql(TRAIN_CTE + ", st AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in L_CURVES)
+    + " FROM tr) SELECT well_api, " + R("DEPTH") + " AS DEPTH, " + ", ".join(f"{R(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in L_CURVES)
+    + " FROM l CROSS JOIN st"))
+def scaler_saved(spark, sf):
+    """Fit on the training wells, write the fitted table, read it back, apply it to all wells."""
+    df = L(spark, sf).drop("operator_id")
+    train = with_folds(df).filter("fold <> 0")
+    path = scratch_path(spark, "scaler")
+    write_table(SC.fit_scaler(train, L_CURVES), path)
+    return round_doubles(SC.apply_scaler(df, spark.read.parquet(path)))
+
+
+@register("original_scale", sql(""", w AS (
+  SELECT well_api, GR, avg(GR) OVER (PARTITION BY well_api) AS p FROM l WHERE GR IS NOT NULL)
+SELECT count(*) AS n, """ + R("1 - sum((GR - p) * (GR - p)) / (var_pop(GR) * count(*))") + " AS r2, " + R("sqrt(avg((GR - p) * (GR - p)))") + " AS rmse, "
+    + R("avg(abs(GR - p))") + " AS mae FROM w"))
+def original_scale(spark, sf):
+    """Metrics of well means as predictions, from values on the Box-Cox scale (lambda 0.5, mean 9, std 4)."""
+    df = L(spark, sf).select("well_api", "GR").filter(F.col("GR").isNotNull())
+    means = df.groupBy("well_api").agg(F.avg("GR").alias("p"))
+    to = lambda c: (boxcox_expr(c, 0.5) - 9.0) / 4.0
+    scaled = df.join(means, "well_api").select("well_api", to("GR").alias("y"), to("p").alias("p"))
+    return round_doubles(original_scale_metrics(scaled, "y", "p", 0.5, 9.0, 4.0).select("n", "r2", "rmse", "mae"))
+
+
 @register("zscore_filter", sql(
     ", st AS (SELECT avg(GR) AS m, stddev_pop(GR) AS s FROM e) SELECT well_api, " + R("DEPTH") + " AS DEPTH, "
     + R("GR") + " AS GR FROM e CROSS JOIN st WHERE GR IS NULL OR abs(GR - m) / s <= 3.0"))
