@@ -43,13 +43,10 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def series_index(df: DataFrame, group: str | None = S.GROUP, order: str = S.ORDER, bucket_rows: int = 1_000_000,
-                 tie: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Add ``_idx`` (0-based position in the group's order; ``group=None``: in the whole
-    table) and ``_n``/``_dmin``/``_dmax``; also return the group stats.
-
-    Rows with equal ``order`` (and ``tie``) get neighbouring positions in some order and share
-    a bucket."""
+def series_buckets(df: DataFrame, group: str | None = S.GROUP, order: str = S.ORDER,
+                   bucket_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its group stats (``_n``/``_dmin``/``_dmax``) and ``_bkt``: a bucket of neighbours in the
+    group's order.  Also returns the group stats."""
     keys = [group] if group else []
     st = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_dmin"), F.max(order).alias("_dmax"))
     biggest = st.agg(F.max("_n")).first()[0] or 0
@@ -66,13 +63,25 @@ def series_index(df: DataFrame, group: str | None = S.GROUP, order: str = S.ORDE
     j = join_null_safe(df, st, keys) if keys else df.crossJoin(F.broadcast(st))
     above = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(order)))
     j = j.withColumn("_bkt", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(above).cast("long")).drop("_cuts")
+    return j, st.drop("_cuts")
+
+
+def series_index(df: DataFrame, group: str | None = S.GROUP, order: str = S.ORDER, bucket_rows: int = 1_000_000,
+                 tie: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Add ``_idx`` (0-based position in the group's order; ``group=None``: in the whole
+    table) and ``_n``/``_dmin``/``_dmax``; also return the group stats.
+
+    Rows with equal ``order`` (and ``tie``) get neighbouring positions in some order and share
+    a bucket."""
+    keys = [group] if group else []
+    j, st = series_buckets(df, group, order, bucket_rows)
     counts = j.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
     j = join_null_safe(j, offsets, [*keys, "_bkt"])
     ords = [F.col(order)] + ([F.col(tie)] if tie else [])
     wi = Window.partitionBy(*keys, "_bkt").orderBy(*ords)
-    return j.withColumn("_idx", F.col("_off") + F.row_number().over(wi) - 1).drop("_bkt", "_off"), st.drop("_cuts")
+    return j.withColumn("_idx", F.col("_off") + F.row_number().over(wi) - 1).drop("_bkt", "_off"), st
 
 
 def with_blocks(indexed: DataFrame, block_rows: int, halo: int) -> DataFrame:

@@ -11,8 +11,8 @@ SF = "/root/testdata/sf0.001"
 
 def test_blocked_equals_plain(spark):
     df = clip_ranges(E(spark, SF).select("well_api", "DEPTH", "GR"))
-    plain = engineer_features(df, "GR")
-    blocked = engineer_features(df, "GR", skew="on", block_rows=24)
+    plain = engineer_features(df, "GR", skew="off")
+    blocked = engineer_features(df, "GR", block_rows=24)
     assert plain.columns == blocked.columns
     a = sorted(plain.collect(), key=lambda r: (r["well_api"], r["DEPTH"]))
     b = sorted(blocked.collect(), key=lambda r: (r["well_api"], r["DEPTH"]))
@@ -36,8 +36,37 @@ def test_blocked_sequences_equal_plain(spark):
     from depthkit.plans.common import L
     df = L(spark, SF).drop("operator_id")
     feats = ["RHOB", "NPHI", "RT", "PE"]
-    a = sequences(df, feats, "GR", 10, 2).orderBy("well_api", "depth").collect()
+    a = sequences(df, feats, "GR", 10, 2, skew="off").orderBy("well_api", "depth").collect()
     b = sequences(df, feats, "GR", 10, 2, skew="on", block_rows=40).orderBy("well_api", "depth").collect()
     assert len(a) == len(b) > 0
     for x, y in zip(a, b):
         assert x.asDict() == y.asDict()
+
+
+def odd_series(spark):
+    """Null wells, null depths, tied depths, and one well with a far outlier."""
+    rows = [(None if i % 11 == 0 else i % 3, i, None if i % 13 == 0 else float(i // 2), None if i % 7 == 0 else float(i * 37 % 101)) for i in range(600)]
+    rows += [(9, 1000 + i, 1000 + i / 1000, float(i % 17)) for i in range(2000)] + [(9, 5000, 1e9, 3.0)]
+    return spark.createDataFrame(rows, "well_api long, src_row long, DEPTH double, GR double")
+
+
+def test_blocked_keeps_null_and_tied_rows(spark):
+    df = odd_series(spark)
+    plain = engineer_features(df, "GR", skew="off", tie="src_row")
+    blocked = engineer_features(df, "GR", block_rows=64, tie="src_row")
+    a, b = ({r["src_row"]: r for r in x.collect()} for x in (plain, blocked))
+    assert a.keys() == b.keys() and len(a) == df.count()
+    for k in a:
+        for c in plain.columns:
+            u, v = a[k][c], b[k][c]
+            assert u == v or (u is not None and v is not None and abs(u - v) <= 1e-9 * max(1.0, abs(u))), (k, c, u, v)
+
+
+def test_buckets_are_bounded_despite_an_outlier(spark):
+    from depthkit.operators.blocked import series_buckets, series_index
+    j, _ = series_buckets(odd_series(spark), bucket_rows=100)
+    assert j.groupBy("well_api", "_bkt").count().agg(F.max("count")).first()[0] <= 200
+    idx, _ = series_index(odd_series(spark), bucket_rows=100, tie="src_row")
+    rows = idx.filter("well_api = 9").orderBy("_idx").collect()
+    assert [r["_idx"] for r in rows] == list(range(2001)) and rows[-1]["DEPTH"] == 1e9
+    assert [r["DEPTH"] for r in rows] == sorted(r["DEPTH"] for r in rows)
