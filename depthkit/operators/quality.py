@@ -136,8 +136,8 @@ def qc_report(df: DataFrame, target: str = S.TARGET, curves: Sequence[str] | Non
     mad = mad_outliers(clean, target, group).select(group, F.col("n_outliers").alias("gr_outliers_mad"), F.col("flagged").alias("_madf"), "n_outliers", "n_valid")
     score = quality_score(clean, curves, group)
     nulls = null_report(clean, curves, group).groupBy(group).agg(
-        F.filter(F.collect_list(F.when(F.col("flagged"), F.format_string("%s: %.1f%% missing", "curve", "null_pct"))),
-                 lambda s: s.isNotNull()).alias("_nf")
+        F.array_sort(F.collect_list(F.when(F.col("flagged"), F.format_string(
+            "%s: %.1f%% missing", "curve", F.floor(F.col("null_pct") * 10 + 0.5) / 10)))).alias("_nf")
     )
     steps = depth_step_report(df, group, order, file_order).select(group, "n_reversals")
     out = stats.join(mad, group, "left").join(score, group).join(nulls, group).join(steps, group)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from depthkit.operators import quality as Q
 from depthkit.operators.clean import clip_ranges
-from depthkit.plans.common import E, L, L_CURVES, R, register, round_doubles, sql
+from depthkit.plans.common import E, L, L_CURVES, ORACLES, R, register, round_doubles, sql
 
 
 @register("null_sentinel_pct", sql(
@@ -98,8 +98,26 @@ def completeness_by_well(spark, sf):
     return round_doubles(Q.completeness(L(spark, sf), L_CURVES))
 
 
-@register("qc_report")
+QC_REPORT_SQL = f"""
+WITH t AS ({ORACLES["qc_target_stats"]}),
+m AS ({ORACLES["mad_outliers"]}),
+n AS ({ORACLES["null_sentinel_pct"]}),
+d AS ({ORACLES["depth_steps"]}),
+raw AS ({sql("SELECT well_api, (count(*) - count(GR)) * 100.0 / count(*) AS pct FROM e GROUP BY well_api")})
+SELECT t.well_api, n_rows, gr_min, gr_max, gr_mean, gr_std, gr_completeness, n_outliers AS gr_outliers_mad,
+       {R("greatest(0.0, 100.0 - pct / 2.0)")} AS quality_score, n_reversals,
+       concat_ws('; ',
+         CASE WHEN n_reversals > 0 THEN printf('Depth reversals detected: %d', n_reversals) END,
+         CASE WHEN n.flagged THEN printf('GR: %.1f%% missing', floor(pct * 10 + 0.5) / 10) END,
+         CASE WHEN below_min > 0 THEN printf('GR below 10.0: %d values', below_min) END,
+         CASE WHEN above_max > 0 THEN printf('GR above 250.0: %d values', above_max) END,
+         CASE WHEN m.flagged THEN printf('Statistical outliers: %d values', n_outliers) END) AS flags
+FROM t LEFT JOIN m USING (well_api) JOIN n USING (well_api) JOIN d USING (well_api) JOIN raw USING (well_api)
+"""
+
+
+@register("qc_report", QC_REPORT_SQL)
 def qc_report(spark, sf):
-    """Per-well QC report with flags array (rows-only check: flags are free text)."""
+    """Per-well QC report with its flags in the report's order, joined to one text."""
     out = Q.qc_report(E(spark, sf).select("well_api", "src_row", "DEPTH", "GR"), "GR", ["GR"])
     return round_doubles(out.withColumn("flags", F.array_join("flags", "; ")))
