@@ -104,10 +104,11 @@ def residual_histogram(df: DataFrame, y: str, p: str, bins: int = 30, group: Seq
                     (F.col("_lo") + (F.col("bin") + 1) * w2).alias("bin_hi"), "count")
 
 
-def depth_error(df: DataFrame, y: str, p: str, group: str = S.GROUP, order: str = S.ORDER, bin_size: float = 100.0) -> DataFrame:
+def depth_error(df: DataFrame, y: str, p: str, group: str | Sequence[str] = S.GROUP, order: str = S.ORDER, bin_size: float = 100.0) -> DataFrame:
     """Mean absolute error per (group, depth bin) — the table behind an error-vs-depth chart."""
     d = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    return d.groupBy(group, (F.floor(F.col(order) / bin_size) * bin_size).alias("depth_bin")).agg(
+    keys = [group] if isinstance(group, str) else list(group)
+    return d.groupBy(*keys, (F.floor(F.col(order) / bin_size) * bin_size).alias("depth_bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(y) - F.col(p))).alias("mae"))
 
 

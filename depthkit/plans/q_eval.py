@@ -70,11 +70,10 @@ def residual_hist(spark, sf):
     return round_doubles(EV.residual_histogram(predictions(spark, sf), "y", "p", 30, ["model"]))
 
 
-@register("depth_error", sql(PRED_CTE + " SELECT well_api, " + R("floor(DEPTH / 100.0) * 100.0") + " AS depth_bin, count(*) AS n, "
-                             + R("avg(abs(y - p))") + " AS mae FROM ok WHERE model = 'roll5' GROUP BY well_api, floor(DEPTH / 100.0)"))
+@register("depth_error", sql(PRED_CTE + " SELECT model, well_api, " + R("floor(DEPTH / 100.0) * 100.0") + " AS depth_bin, count(*) AS n, "
+                             + R("avg(abs(y - p))") + " AS mae FROM ok GROUP BY model, well_api, floor(DEPTH / 100.0)"))
 def depth_error(spark, sf):
-    p = predictions(spark, sf).filter(F.col("model") == "roll5")
-    out = EV.depth_error(p, "y", "p")
+    out = EV.depth_error(predictions(spark, sf), "y", "p", ["model", "well_api"])
     return round_doubles(out.withColumn("depth_bin", F.col("depth_bin").cast("double")))
 
 

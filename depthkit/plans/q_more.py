@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from depthkit import schema as S
 from depthkit.functions.exprs import series_window
 from depthkit.operators import features as FE
 from depthkit.operators import impute as IM
@@ -12,7 +13,7 @@ from depthkit.operators.sequences import sequences as make_sequences
 from depthkit.plans.common import E, L, R, register, round_doubles, sql
 from depthkit.plans.q_features import GRADIENT_SQL_LEVELS, _roll_sql
 
-SEQ_LEN = 25
+SEQ_LEN = S.SEQUENCE_LENGTH
 SEQ_FEATS = ["RHOB", "NPHI", "RT", "PE"]
 
 

@@ -23,9 +23,12 @@ def write_table(df: DataFrame, path: str, partition_by: str | list[str] | None =
         df.write.mode(mode).option("header", True).csv(path.rstrip("/") + "_csv")
 
 
-def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A small report table as JSON lines (one file)."""
-    df.coalesce(1).write.mode(mode).json(path)
+def write_report(df: DataFrame, path: str, mode: str = "overwrite", one_file: bool = False) -> None:
+    """A report table as JSON lines.
+
+    Tables that grow with wells or files (splits, errors, flags) are written by all tasks;
+    ``one_file`` is for summaries of a fixed size."""
+    (df.coalesce(1) if one_file else df).write.mode(mode).json(path)
 
 
 def write_run(outputs: dict[str, DataFrame], root: str, data_tables: tuple[str, ...] = ("logs_master", "features"),
