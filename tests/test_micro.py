@@ -143,3 +143,63 @@ def test_scaler_invariants(spark, fn):
     df = series(spark, [1, 2, 3, 4, None])
     out = fn(df, ["GR"]).agg(F.avg("GR").alias("m"), F.stddev_pop("GR").alias("s")).first()
     assert abs(out["m"]) < 1e-12 and abs(out["s"] - 1) < 1e-12
+
+
+def test_rows_null_in_all_neighbours_stay_null(spark):
+    """Two curves NULL in the same rows: neither has a neighbour value there, so both stay NULL."""
+    from depthkit.operators.impute import impute_policy
+    rows = [(1, float(i), None if i < 3 else float(i), None if i < 3 else 100.0 + i) for i in range(40)]
+    df = spark.createDataFrame(rows + [(None, 5.0, None, 1.0)], "well_api long, DEPTH double, A double, B double")
+    out = {(r["well_api"], r["DEPTH"]): (r["A"], r["B"]) for r in impute_policy(df, ["A", "B"]).collect()}
+    assert len(out) == 41 and out[(None, 5.0)] == (None, 1.0)
+    assert all(out[(1, float(i))] == (None, None) for i in range(3)) and out[(1, 7.0)] == (7.0, 107.0)
+
+
+def test_folds_are_never_empty(spark):
+    from depthkit.operators.models import with_folds
+    df = spark.createDataFrame([(w, float(i)) for w in (1, 2, 3) for i in range(4)] + [(None, 0.0)], "well_api long, x double")
+    out = with_folds(df, k=3)
+    assert out.filter("well_api is not null").select("well_api", "fold").distinct().select("fold").distinct().count() == 3
+    assert out.count() == 13
+
+
+def test_constant_target_and_ties(spark):
+    from depthkit.operators.evaluate import best_by
+    from depthkit.operators.scale import boxcox_transform, zscore_filter
+    df = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, None)], "well_api long, GR double")
+    assert zscore_filter(df, "GR").count() == 3
+    out, _ = boxcox_transform(df, "GR", lam=0.5)
+    assert {r["GR_transformed"] for r in out.collect()} == {0.0, None}
+    t = spark.createDataFrame([(k, 0.5) for k in ("delta", "alpha", "gamma", "beta")] + [("aa", None), ("zz", 0.1)], "model string, r2 double")
+    assert best_by(t, "model", "r2").collect()[0].asDict() == {"model": "alpha", "r2": 0.5}
+
+
+def test_fitted_scaler_round_trip(spark):
+    from depthkit.operators.scale import apply_scaler, fit_scaler
+    df = spark.createDataFrame([(float(i), 7.0, float(i * i)) for i in range(20)], "a double, b double, c double")
+    for kind in ("standard", "minmax", "robust"):
+        sc = fit_scaler(df, ["a", "b", "c"], kind)
+        back = apply_scaler(apply_scaler(df, sc), sc, inverse=True)
+        assert sorted((round(r["a"], 9), r["b"], round(r["c"], 9)) for r in back.collect()) == sorted((r["a"], r["b"], r["c"]) for r in df.collect())
+        assert sc.filter("feature = 'b'").first()["scale"] == 1.0
+
+
+def test_cluster_needs_a_shared_folder():
+    import pytest
+    from depthkit.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
