@@ -291,10 +291,9 @@ def train(texts: list[tuple[int, str]], epochs: int = 12, batch: int = 96, rate:
     return p
 
 
-def sample_texts(df: DataFrame, label: str, text: str, key: str = "doc_id", most: int = SAMPLE_TEXTS) -> list[tuple[int, str]]:
-    """(label, words) of a bounded sample: of each text, evenly spread stretches of SAMPLE_WINDOWS windows' length."""
-    ship(df.sparkSession)
-    rows = labelled_sample(df, label, most, key).select(F.col(label).cast("int").alias("l"), F.col(text).alias("t"))
+def sample_texts(rows: DataFrame) -> list[tuple[int, str]]:
+    """(label, words) of a bounded number of rows (l, t): of each text, evenly spread stretches of SAMPLE_WINDOWS windows' length."""
+    ship(rows.sparkSession)
     stretch, stretches = 4 * WINDOW, max(1, SAMPLE_WINDOWS // 7)
 
     def run(batches):
@@ -338,11 +337,13 @@ def fold(doc_id, folds: int = 5):
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Params:
-    """Train on labelled rows outside the held-out fold."""
+    """Train on labelled rows outside the held-out fold: about SAMPLE_TEXTS ids of each label, so
+    the ids are broadcast and texts are not shuffled."""
     known = labels.where((fold(F.col("doc_id"), folds) != held) & F.col("toxic").isin(0, 1)).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
-    return train(sample_texts(texts, "toxic", "text"))
+    chosen = labelled_sample(known, "toxic", SAMPLE_TEXTS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t"))
+    return train(sample_texts(texts.join(F.broadcast(chosen), "doc_id").select(F.col("toxic").alias("l"), "t")))
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
