@@ -1,8 +1,12 @@
-"""Plan-shape checks: one shuffle for the feature select, no cartesian products, no Python UDFs."""
+"""Plan-shape checks: windows per block for the feature select, no cartesian products, no Python UDFs."""
 
 import re
 
 import __spark_entry__ as E
+from depthkit.operators.clean import clip_ranges
+from depthkit.operators.features import engineer_features
+from depthkit.plans import catalog
+from depthkit.plans.common import E as events
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,13 +15,24 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_feature_select_single_exchange(spark):
+def test_feature_windows_are_per_block(spark):
+    """Feature windows of the flagship are partitioned by (well, block); only the small tables of bucket
+    and block summaries are by well."""
     p = plan(E.queries()["well_features"](spark, SF))
-    assert len(re.findall(r"Exchange hashpartitioning", p)) == 1, p
+    specs = re.findall(r"\[([^\[\]]*)\], \[(_idx|DEPTH)#", p)
+    assert {"_idx", "DEPTH"} <= {order for _, order in specs}
+    assert all("_blk#" in keys for keys, order in specs if order == "_idx")
+    assert all("_bkt#" in keys for keys, order in specs if order == "DEPTH")
+
+
+def test_unsplit_plan_has_a_single_exchange(spark):
+    df = clip_ranges(events(spark, SF).select("well_api", "DEPTH", "GR"))
+    p = plan(engineer_features(df, "GR", skew="off"))
+    assert p.count("Exchange hashpartitioning") == 1
 
 
 def test_no_cartesian_or_python(spark):
-    for name, fn in E.queries().items():
+    for name, fn in catalog.queries().items():
         p = plan(fn(spark, SF))
         assert "CartesianProduct" not in p, name
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
