@@ -474,6 +474,16 @@ class Vocabulary:
 
 
 _loaded: dict[str, Vocabulary] = {}
+_sizes: dict[str, int] = {}
+
+
+def vocabulary_size(path: str) -> int:
+    """Ids of a vocabulary, without its tables: all that the driver needs."""
+    if path not in _sizes:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        _sizes[path] = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+    return _sizes[path]
 
 
 def vocabulary(path: str) -> Vocabulary:

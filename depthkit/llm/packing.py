@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthkit.llm.base import cut_lineage, partition_offsets, ragged, ship
-from depthkit.llm.bpe import crc_of, encode_batches, vocabulary
+from depthkit.llm.bpe import crc_of, encode_batches, vocabulary_size
 
 END_ID = 2
 LENGTH = 4096
@@ -61,7 +61,7 @@ def tokenized(df: DataFrame, path: str, end_id: int | None = END_ID, doc_id: str
 
 
 def id_type(path: str):
-    return np.dtype("<u2") if vocabulary(path).size <= 1 << 16 else np.dtype("<u4")
+    return np.dtype("<u2") if vocabulary_size(path) <= 1 << 16 else np.dtype("<u4")
 
 
 def global_starts(tokens: DataFrame) -> DataFrame:

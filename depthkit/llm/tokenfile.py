@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthkit.llm.base import scratch_path, ship
-from depthkit.llm.bpe import vocabulary
+from depthkit.llm.bpe import vocabulary_size
 from depthkit.llm.packing import END_ID, global_starts, id_type, tokenized
 
 #: Longest code in bits; 2**LIMIT table entries decode any code at once.
@@ -160,7 +160,7 @@ def write(df: DataFrame, path: str, folder: str, end_id: int | None = END_ID, do
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = tokenized(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id"), path, end_id)
-    size, kind = vocabulary(path).size, id_type(path)
+    size, kind = vocabulary_size(path), id_type(path)
 
     def count(batches):
         total = np.zeros(size, np.int64)
