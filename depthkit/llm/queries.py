@@ -56,7 +56,8 @@ FROM hashed GROUP BY 1, 2 HAVING sum(a) <> sum(b)
 
 @query
 def op3_compression_bands(spark, sf_dir):
-    return quality.assess(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
 
 
 @query

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthkit.llm.base import labelled_sample, letter_words, mix, prefix_sums, ragged, raw_hash, ship, text_slices
+from depthkit.llm.base import fold, labelled_sample, letter_words, mix, prefix_sums, ragged, raw_hash, ship, text_slices
 
 WINDOW, STEP = 32, 16
 #: Bytes of a word that the byte network reads: the first ones and the last ones of longer words.
@@ -332,10 +332,6 @@ def predict(df: DataFrame, p: Params, doc_id: str = "doc_id", text: str = "text"
         run, "doc_id long, score double, predicted int, n_windows long")
 
 
-def fold(doc_id, folds: int = 5):
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
-
-
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Params:
     """Train on labelled rows outside the held-out fold: about SAMPLE_TEXTS ids of each label, so
     the ids are broadcast and texts are not shuffled."""

@@ -58,6 +58,28 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(spark):
     assert quality.assess(df.limit(0)).count() == 0
 
 
+def test_learned_bands_part_junk_from_clean_prose(spark):
+    """Junk that draws on few words compresses better than clean texts of its length; wide limits keep it."""
+    def text(i, words):
+        rng = random.Random(i)
+        size = rng.choice([150, 900])
+        some = rng.sample(prose(400, 1).split(), words)
+        return " ".join(rng.choice(some) for _ in range(size))
+
+    rows = [(i, text(i, 40 if i % 8 == 0 else 200), int(i % 8 != 0)) for i in range(480)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (9999, 1), (8, None)], "doc_id long, quality int")
+    wide = {r.doc_id: r.kept for r in quality.assess(docs).collect()}
+    bands = quality.learn(docs, labels)
+    kept = {r.doc_id: r.kept for r in quality.assess(docs, bands).collect()}
+    junk, clean = [i for i, _, y in rows if not y], [i for i, _, y in rows if y]
+    assert all(wide[i] for i in junk)
+    assert sum(not kept[i] for i in junk) >= 0.9 * len(junk) and sum(not kept[i] for i in clean) <= 0.03 * len(clean)
+    assert quality.learn(docs, labels.limit(0)).chunk == quality.Bands().chunk
+    assert all(quality.limits(quality.learn(docs, labels.limit(0)), n) == quality.limits(quality.Bands(), n) for n in (1, 500, 5000, 1 << 20))
+    assert quality.learn(docs, labels.withColumnRenamed("quality", "toxic")) == quality.Bands()
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
