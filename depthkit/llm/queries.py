@@ -87,7 +87,7 @@ def op8_bpe(spark, sf_dir):
 
 @query
 def op9_minhash(spark, sf_dir):
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), fold_copies=True)
 
 
 @query

@@ -101,6 +101,39 @@ def test_minhash_edge_cases(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_minhash_classes_of_distinct_texts_equal_brute_force(spark):
+    rows, first = corpus(), {}
+    for i, t in rows:
+        first.setdefault(tuple(t.lower().split()), (i, t))
+    want = classes_brute(list(first.values()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, block=16, fold_copies=True).collect()}
+    assert got == {i: want[first[tuple(t.lower().split())][0]] for i, t in rows}
+    assert got != classes_brute(rows)
+
+
+def test_copies_do_not_change_similarity(spark):
+    """A third of the rows are copies of one text: near copies of it (0.81 to 0.85) stay linked."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    hot = [word() for _ in range(100)]
+    near = [hot[:k] + [word() for _ in range(run)] + hot[k + run:] for k, run in ((10, 4), (40, 5), (70, 6))]
+    for x in near:
+        a, b = shingles(" ".join(hot)), shingles(" ".join(x))
+        assert 0.8 < sum((a & b).values()) / sum((a | b).values()) < 0.87
+    texts = [" ".join(hot)] * 80 + [" ".join(x) for x in near] + [" ".join(word() for _ in range(60)) for _ in range(157)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    out = {r.doc_id: r for r in minhash.near_duplicates(df, fold_copies=True).collect()}
+    assert all(out[i].class_id == 0 for i in range(83)) and all(out[i].class_id == i for i in range(83, 240))
+    assert out[5].n_copies == 80 and minhash.keep_first(df, fold_copies=True).count() == 158
+    boiler = " all of these words are here"
+    rows = [" ".join(hot) + boiler] * 300 + [" ".join(word() for _ in range(30)) + (boiler if i % 5 == 0 else "") for i in range(200)] + ["", None]
+    for sample in (minhash.SAMPLE_TEXTS, 150):
+        keys, freq, n = minhash.common_shingles_of_distinct(
+            spark.createDataFrame([(r,) for r in rows], "text string").repartition(5), sample=sample)
+        assert n == 201 and freq.tolist() == [41, 41]
+
+
 def test_common_shingles_are_counted_exactly(spark):
     rng = random.Random(2)
     rows = [" ".join(rng.choices("abcdefghijklmnop", k=30)) + (" all of these words are here" if i % 3 == 0 else "") for i in range(400)]
