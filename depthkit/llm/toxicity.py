@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from depthkit.llm.base import fold, labelled_sample, letter_words, mix, prefix_sums, ragged, raw_hash, ship, text_slices
 
 WINDOW, STEP = 32, 16
-#: Bytes of a word that the byte network reads: the first ones and the last ones of longer words.
-BYTES = 10
+#: Bytes that the byte network reads at once.  Longer runs of letters, whole texts without blanks
+#: included, are cut into pieces of at most so many bytes; each begins PIECE_STEP after the one before,
+#: give or take a character, and counts as a word.
+BYTES, PIECE_STEP = 10, 4
 #: Words with an embedding of their own: those in at least so many texts of the sample.  All
 #: others share one, so what is not known as a word is judged by its bytes.
 WORD_TEXTS = 10
@@ -139,15 +141,33 @@ def bigru_pool_back(p: Params, name: str, dout: np.ndarray, saved, grads: dict)
 
 
 # ---- words and windows ---------------------------------------------------------------------
+def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``letter_words``, with runs longer than BYTES cut into overlapping pieces at character borders."""
+    low, s, e, row = letter_words(data, offs)
+    per = 1 + np.maximum(0, -(-(e - s - BYTES) // PIECE_STEP))
+    if not (per > 1).any():
+        return low, s, e, row
+    of = np.repeat(np.arange(len(s)), per)
+    k = ragged(np.zeros(len(s), np.int64), per)
+    start, end, last = s[of] + k * PIECE_STEP, e[of], k == per[of] - 1
+    cut = per[of] > 1
+    start = np.where(cut & last, end - BYTES, start)
+    inside = (low & 0xC0) == 0x80  # bytes that continue a character
+    for _ in range(3):  # the last piece begins at the next character, the others at the one they cut
+        start = np.where(cut & inside[start], np.where(last, np.minimum(start + 1, end - 1), np.maximum(start - 1, s[of])), start)
+    stop = np.where(last, end, np.minimum(start + BYTES, end))
+    for _ in range(3):
+        stop = np.where(~last & inside[np.minimum(stop, len(low) - 1)], stop - 1, stop)
+    return low, start, stop, row[of]
+
+
 def word_inputs(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct words, their bytes (256: none), number of each word among them)."""
     key = mix(raw_hash(prefix_sums(data), s, e))
     _, first, back = np.unique(key, return_index=True, return_inverse=True)
     a, n = s[first], (e - s)[first]
     at = np.arange(BYTES)
-    head = BYTES - 4
-    place = np.where((at < head) | (n[:, None] <= BYTES), a[:, None] + at, (a + n)[:, None] - BYTES + at)
-    letters = np.where(at < np.minimum(n, BYTES)[:, None], data[np.minimum(place, max(len(data) - 1, 0))], 256)
+    letters = np.where(at < n[:, None], data[np.minimum(a[:, None] + at, max(len(data) - 1, 0))], 256)
     return key[first], letters.astype(np.int64), back
 
 
@@ -202,7 +222,7 @@ def window_logits(p: Params, words: np.ndarray, ids: np.ndarray, first: np.ndarr
 def score_slice(p: Params, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(score, windows) of each row of a slice."""
     rows = len(offs) - 1
-    low, s, e, row = letter_words(data, offs)
+    low, s, e, row = pieces(data, offs)
     n = np.bincount(row, minlength=rows)
     score = np.full(rows, -np.inf, np.float32)
     if not len(s):
@@ -227,7 +247,7 @@ def train(texts: list[tuple[int, str]], epochs: int = 12, batch: int = 96, rate:
     raw = [t.encode() for _, t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    low, s, e, row = letter_words(data, offs)
+    low, s, e, row = pieces(data, offs)
     n = np.bincount(row, minlength=len(texts))
     key, letters, ids = word_inputs(low, s, e)
     seen = np.bincount(np.unique(row * np.int64(len(key)) + ids) % len(key), minlength=len(key))
@@ -300,7 +320,7 @@ def sample_texts(rows: DataFrame) -> list[tuple[int, str]]:
         for batch in batches:
             l, w = [], []
             for lo, hi, data, offs in text_slices(batch.column(1)):
-                low, s, e, row = letter_words(data, offs)
+                low, s, e, row = pieces(data, offs)
                 raw, cut = low.tobytes(), np.searchsorted(row, np.arange(hi - lo + 1))
                 for r in range(hi - lo):
                     a, b = int(cut[r]), int(cut[r + 1])

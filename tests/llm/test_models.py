@@ -117,6 +117,40 @@ def test_windows_cover_all_words():
         assert k <= toxicity.WINDOW or (np.diff(first[some]) == toxicity.STEP).all()
 
 
+def test_every_byte_of_a_long_run_is_read():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abé日😀", k=rng.randint(1, 40))) for _ in range(300)] + ["", "a" * 10, "b" * 11, "日" * 500]
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+    low, s, e, row = toxicity.pieces(data, offs)
+    assert (e - s <= toxicity.BYTES).all() and (e > s).all()
+    covered = np.zeros(len(data), bool)
+    for a, b, r in zip(s, e, row):
+        assert offs[r] <= a and b <= offs[r + 1]
+        low[a:b].tobytes().decode()  # whole characters
+        covered[a:b] = True
+    assert covered.all()
+
+
+def test_toxic_stems_inside_long_runs_are_found():
+    rng = random.Random(6)
+    plain = ["".join(rng.choices("aeionrst", k=rng.randint(2, 7))) for _ in range(500)]
+    rows = []
+    for i in range(800):
+        some = rng.choices(plain, k=rng.randint(30, 100))
+        for _ in range(rng.randint(2, 5) * (i % 4 == 0)):
+            some[rng.randrange(len(some))] = rng.choice(["grumbog", "skarnish", "grumbolt", "skarnled"])
+        rows.append((int(i % 4 == 0), " ".join(some)))
+    p = toxicity.train(rows)
+    some = rng.choices(plain, k=60)
+    clean = " ".join(some)
+    glued = " ".join(some[:30] + ["".join(some[:3]) + "grumbog" + "".join(some[3:6])] + some[30:])
+    wide = "日本語" * 20 + "grumbogskarnish" + "日本語" * 20
+    raw = [t.encode() for t in (clean, glued, wide)]
+    score, windows = toxicity.score_slice(p, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    assert score[0] < 0.5 <= min(score[1], score[2]) and windows[2] > 1
+
+
 def test_toxic_words_are_found_wherever_they_are(spark):
     rng = random.Random(6)
     plain = ["".join(rng.choices("aeionrst", k=rng.randint(2, 7))) for _ in range(500)]
