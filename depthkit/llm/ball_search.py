@@ -28,6 +28,7 @@ SHARD, BLOCK, LEAF = 16384, 65536, 64
 BATCH = 256
 #: Sums below this are exact in doubles.
 EXACT = float(1 << 53)
+HUGE = 1e150
 _LONG = (1 << 63) - 1
 _NONE = np.int64(-_LONG - 1)
 
@@ -46,7 +47,7 @@ class Tree:
                     v = x[some]
                     far = v[np.argmax(_square(v - v.mean(0)))]  # split between two points that are far apart
                     other = v[np.argmax(_square(v - far))]
-                    scale = max(1.0, float(np.abs(other - far).max()))
+                    scale = max(1.0, float(np.abs(other - far).max(initial=0)))
                     order[a:b] = some[np.argsort((v / scale) @ ((other - far) / scale), kind="stable")]
                 spans += [(a, a + mid), (a + mid, b)]
         self.x, self.ids, self.rows, self.span = x[order], ids[order], rows[order], np.array(spans)
@@ -61,8 +62,10 @@ class Tree:
 
     def bound(self, q: np.ndarray, norm: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores of queries in nodes (pairwise), widened by what rounding may take."""
-        top = np.einsum("ij,ij->i", q, self.centre[nodes]) + norm * self.radius[nodes]
-        top += (1 + norm * (self.size[nodes] + self.radius[nodes])) * 1e-9
+        with np.errstate(all="ignore"):
+            top = np.einsum("ij,ij->i", q, self.centre[nodes]) + norm * self.radius[nodes]
+            top += (1 + norm * (self.size[nodes] + self.radius[nodes])) * 1e-9
+        top[(norm > HUGE) | (self.size[nodes] > HUGE)] = np.inf  # squares of such lengths overflow: always visited
         return np.where(self.radius[nodes] < 0, -np.inf, top)
 
 
