@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from depthkit import schema as S
 
 __all__ = [
-    "col", "series_window", "reverse_window", "full_frame", "sentinel_to_null", "clip", "safe_div", "r6",
-    "ffill", "bfill", "flag", "numeric_curves", "boxcox_expr", "inv_boxcox_expr", "md5_order",
+    "col", "series_window", "full_frame", "sentinel_to_null", "clip", "safe_div", "r6",
+    "ffill", "flag", "numeric_curves", "boxcox_expr", "md5_order",
     "first_row", "last_row",
 ]
 
@@ -73,22 +73,6 @@ def ffill(c: str | Column, w: WindowSpec) -> Column:
     return F.last(col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def reverse_window(group: str | Sequence[str] = S.GROUP, order: str | Sequence[str] = S.ORDER) -> WindowSpec:
-    """Running frame over the reversed order.
-
-    "Next valid value" lookups use ``last(ignoreNulls)`` over this frame instead of
-    ``first`` over ``(current row, unbounded following)``, which Spark evaluates in O(n^2)
-    per partition.  Same partitioning, so no extra shuffle (one extra sort).
-    """
-    return (Window.partitionBy(*_list(group)).orderBy(*[F.col(o).desc() for o in _list(order)])
-            .rowsBetween(Window.unboundedPreceding, 0))
-
-
-def bfill(c: str | Column, group: str | Sequence[str] = S.GROUP, order: str | Sequence[str] = S.ORDER) -> Column:
-    """First non-null value from the current row on (running frame over reversed order)."""
-    return F.last(col(c), ignorenulls=True).over(reverse_window(group, order))
-
-
 def first_row(w: WindowSpec) -> Column:
     return F.lag(F.lit(1)).over(w).isNull()
 
@@ -121,12 +105,6 @@ def boxcox_expr(x: str | Column, lam: float | Column) -> Column:
     return F.when(lamc == 0, F.ln(xv)).otherwise((F.pow(xv, lamc) - 1) / lamc)
 
 
-def inv_boxcox_expr(y: str | Column, lam: float | Column) -> Column:
-    yv = col(y)
-    lamc = lam if isinstance(lam, Column) else F.lit(float(lam))
-    return F.when(lamc == 0, F.exp(yv)).otherwise(F.pow(lamc * yv + 1, 1 / lamc))
-
-
 def md5_order(key: str | Column, seed: int) -> Column:
     """Seeded, engine-independent pseudo-random order key: md5 of '<key>:<seed>'."""
     return F.md5(F.concat(col(key).cast("string"), F.lit(f":{seed}")))

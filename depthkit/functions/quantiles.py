@@ -1,18 +1,18 @@
-"""Exact group quantiles without buffering a whole group in one task.
-
-Spark's exact ``percentile``/``median`` keep every distinct value of a group in one
-aggregation buffer; a hot group (say a third of the table) would land in a single task.
-Here the exact answer is obtained in three distributed passes:
-
-0. size check: when the largest group has at most ``DIRECT_MAX`` values, Spark's exact
-   ``percentile`` is used directly (its buffer is then bounded); otherwise:
-1. per group: ``count`` and a bounded ``percentile_approx`` sketch at ``q -/+ 3/accuracy``,
-   which brackets the exact order statistics (rank error of the sketch <= n/accuracy);
-2. per group: how many values fall below / inside each bracket and the nearest values just
-   outside it (partial aggregation, map-side);
-3. only the values inside a bracket (about 6n/accuracy per group and quantile) are ranked
-   by a window, and the order statistics at ``floor/ceil((n-1)q)`` are interpolated
-   linearly, the definition used by ``percentile``/``quantile_cont``.
+"""Exact group quantiles from value counts, by one plan at every size.
+
+No task sees a whole group and nothing is sketched or counted beforehand:
+
+1. rows become runs (key, value, count): one partial aggregate, so tied values, however many, are
+   one row for each task before the shuffle and one row after it;
+2. runs are summed up in value ranges, first in pieces of an octave (``PIECES`` of each power of
+   two), and running offsets over the small (key, range) table tell which ranges hold the wanted
+   ranks, the order statistics at ``floor/ceil((n-1)q)``;
+3. those ranges are cut again, linearly between their own smallest and largest value into
+   ``FINE`` ranges, in the same way;
+4. only the runs of the ranges left are put in order, and a running sum of their counts finds the values.
+
+The two order statistics are interpolated linearly, the definition used by ``percentile`` and
+``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -22,9 +22,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 10_000
-MAX_CANDIDATES = 1_000_000  # target bound on bracket rows ranked in one task
-DIRECT_MAX = 2_000_000  # largest group for which Spark's exact percentile buffer is used
+#: Value ranges of an octave at the first level, and of such a range at the second.
+PIECES = 256
+FINE = 1 << 16
+_TOP = 1 << 40
+
+
+def _range_of(v: Column, pieces: int) -> Column:
+    """Number of the value range of ``v``: never falls as ``v`` rises; null for null."""
+    size = F.abs(v)
+    octave = F.floor(F.log2(size) * pieces) + 1100 * pieces  # of the smallest double: above 0
+    part = F.when(v == 0, 0).when(size == float("inf"), _TOP).otherwise(octave)
+    return F.when(F.isnan(v), 2 * _TOP).otherwise(F.when(v < 0, -part).otherwise(part)).cast("long")
+
+
+def _within(ranks: str, start: Column, rows: Column) -> Column:
+    return F.filter(ranks, lambda r: (r >= start) & (r < start + rows))
+
+
+def _before(part: str | Sequence[str], order: str, rows: Column) -> Column:
+    """Sum of ``rows`` over the earlier rows."""
+    keys = [part] if isinstance(part, str) else list(part)
+    return F.coalesce(F.sum(rows).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
 
 def group_quantiles(
@@ -35,105 +54,43 @@ def group_quantiles(
     names: Sequence[str] | None = None,
     accuracy: int | None = None,
     count_name: str | None = None,
-    materialize: bool = True,
 ) -> DataFrame:
     """One row per group: ``keys`` + one column per quantile (NULL for groups without values).
 
-    ``accuracy=None`` sizes the sketch from the largest group (one small aggregate), so a
-    bracket holds about 6*n/accuracy <= MAX_CANDIDATES rows even for a hot group."""
+    Rows with a null key are a group; without keys the table is one.  ``accuracy`` is the number of value
+    ranges of an octave (``PIECES``): the result is exact with any.  ``count_name`` adds the number of values."""
     keys = list(keys)
-    global_group = not keys
-    if global_group:
-        df = df.withColumn("_g", F.lit(0))
-        keys = ["_g"]
     qs = [float(q) for q in qs]
     names = list(names) if names is not None else [f"q{int(round(q * 100))}" for q in qs]
     v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if accuracy is None:
-        biggest = base.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if biggest <= DIRECT_MAX:
-            # size-checked fast path: every group fits Spark's exact percentile buffer
-            pc = F.percentile("_v", F.array(*[F.lit(q) for q in qs])) if len(qs) > 1 else F.percentile("_v", F.lit(qs[0]))
-            agg = base.groupBy(*keys).agg(F.count("_v").alias("_n"), pc.alias("_p"))
-            res = agg.select(*keys, "_n", *[(F.col("_p")[i] if len(qs) > 1 else F.col("_p")).alias(n) for i, n in enumerate(names)])
-            res = res.withColumnRenamed("_n", count_name) if count_name else res.drop("_n")
-            return res.drop("_g") if global_group else res
-        accuracy = int(min(10_000_000, max(DEFAULT_ACCURACY, 6 * biggest // MAX_CANDIDATES)))
-    if materialize:
-        # the narrow (keys, value) input is scanned by every pass: compute it once
-        from depthkit.session import cut_lineage
-        base = cut_lineage(base, "quantile-input")
-
-    d = 3.0 / accuracy
-    probs: list[float] = []
-    for q in qs:
-        probs += [max(0.0, q - d), min(1.0, q + d)]
-    stats = base.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", probs, accuracy).alias("_b"),
-    )
-    qcols = []
-    for i, q in enumerate(qs):
-        qcols.append(
-            F.struct(
-                F.lit(i).alias("qi"),
-                F.lit(q).alias("q"),
-                F.col("_b")[2 * i].alias("lo"),
-                F.col("_b")[2 * i + 1].alias("hi"),
-            )
-        )
-    stats = stats.select(*keys, "_n", F.array(*qcols).alias("_br"))
-
-    joined = base.join(stats, keys)
-    nq = len(qs)
-    lo_i = [F.col("_br")[i]["lo"] for i in range(nq)]
-    hi_i = [F.col("_br")[i]["hi"] for i in range(nq)]
-    v = F.col("_v")
-    # pass 2: per bracket, the count below it, the count inside it, and the nearest values
-    # just outside it (covers order statistics one rank outside a narrow bracket)
-    aggs = []
-    for i in range(nq):
-        aggs += [
-            F.count_if(v < lo_i[i]).alias(f"_c{i}"),
-            F.count_if((v >= lo_i[i]) & (v <= hi_i[i])).alias(f"_in{i}"),
-            F.max(F.when(v < lo_i[i], v)).alias(f"_mb{i}"),
-            F.min(F.when(v > hi_i[i], v)).alias(f"_ma{i}"),
-        ]
-    edges = joined.groupBy(*keys).agg(*aggs)
-    # pass 3: rank the values inside each bracket
-    cand = joined.select(*keys, "_v", F.explode(F.filter("_br", lambda b: (v >= b["lo"]) & (v <= b["hi"]))).alias("_b1"))
-    w = Window.partitionBy(*keys, F.col("_b1.qi")).orderBy("_v")
-    ranked = cand.select(*keys, "_v", F.col("_b1.qi").alias("qi"), (F.row_number().over(w) - 1).alias("_r"))
-    ctx = edges.join(stats.select(*keys, "_n"), keys)
-    per_q = ctx.select(*keys, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("qi"), F.lit(q).alias("q"), F.col(f"_c{i}").alias("c"), F.col(f"_in{i}").alias("cin"),
-                 F.col(f"_mb{i}").alias("mb"), F.col(f"_ma{i}").alias("ma"))
-        for i, q in enumerate(qs)])).alias("_e")).select(*keys, "_n", "_e.*")
-    h = (F.col("_n") - 1) * F.col("q")
-    per_q = per_q.withColumns({"_kf": F.floor(h), "_kc": F.ceil(h), "_frac": h - F.floor(h)})
-    rj = ranked.join(per_q.select(*keys, "qi", "c", "_kf", "_kc"), [*keys, "qi"])
-    rank = F.col("c") + F.col("_r")
-    picked = rj.filter((rank == F.col("_kf")) | (rank == F.col("_kc"))).groupBy(*keys, "qi").agg(
-        F.max(F.when(rank == F.col("_kf"), F.col("_v"))).alias("_vf"),
-        F.max(F.when(rank == F.col("_kc"), F.col("_v"))).alias("_vc"),
-    )
-    res_q = per_q.join(picked, [*keys, "qi"], "left")
-
-    def at(k: str, inside: str):
-        kc = F.col(k)
-        return (F.when((kc >= F.col("c")) & (kc < F.col("c") + F.col("cin")), F.col(inside))
-                .when(kc == F.col("c") - 1, F.col("mb"))
-                .when(kc == F.col("c") + F.col("cin"), F.col("ma")))
-
-    lo_v, hi_v = at("_kf", "_vf"), at("_kc", "_vc")
-    val = lo_v + F.col("_frac") * (hi_v - lo_v)
-    out = res_q.groupBy(*keys).agg(*[F.max(F.when(F.col("qi") == i, val)).alias(n) for i, n in enumerate(names)])
-    groups = stats.select(*keys, "_n")
-    res = groups.join(out, keys, "left")
-    res = res.withColumnRenamed("_n", count_name) if count_name else res.drop("_n")
-    return res.drop("_g") if global_group else res
-
-
-def group_median(df: DataFrame, keys: Sequence[str], value: str | Column, name: str = "median", accuracy: int | None = None) -> DataFrame:
-    return group_quantiles(df, keys, value, [0.5], [name], accuracy)
+    key = F.struct(*[F.col(k).alias(k) for k in keys]) if keys else F.lit(0)  # a struct compares null keys as equal
+    runs = df.select(key.alias("_key"), v.cast("double").alias("_v")).groupBy("_key", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    runs = runs.withColumn("_b", _range_of(F.col("_v"), accuracy or PIECES))
+
+    valid = F.when(F.col("_b").isNotNull(), F.col("_t"))
+    wide = runs.groupBy("_key", "_b").agg(F.sum("_c").alias("_t"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wide = wide.withColumns({"_n": F.coalesce(F.sum(valid).over(Window.partitionBy("_key")), F.lit(0).cast("long")), "_off": _before("_key", "_b", valid)})
+    places = [(F.col("_n") - 1) * F.lit(q) for q in qs]
+    ranks = F.array_distinct(F.array(*[f(h).cast("long") for h in places for f in (F.floor, F.ceil)]))
+    wide = wide.withColumn("_ranks", ranks).withColumn("_ranks", F.when(F.col("_b").isNotNull(), _within("_ranks", F.col("_off"), F.col("_t"))))
+    groups = wide.groupBy("_key").agg(F.max("_n").alias("_n"))
+
+    some = wide.filter(F.size("_ranks") > 0).select(F.struct("_key", "_b").alias("_kb"), "_lo", "_hi", "_off", "_ranks")
+    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    left = runs.filter(F.col("_b").isNotNull()).withColumn("_kb", F.struct("_key", "_b")).join(some, "_kb").select(
+        "_kb", "_v", "_c", "_off", "_ranks", F.coalesce(F.when(F.col("_hi") > F.col("_lo"), F.floor(F.nanvl(share, F.lit(0.0)) * FINE)), F.lit(0)).alias("_f"))
+
+    fine = left.groupBy("_kb", "_f").agg(F.sum("_c").alias("_t"), F.first("_off").alias("_off"), F.first("_ranks").alias("_ranks"))
+    fine = fine.withColumn("_off", F.col("_off") + _before("_kb", "_f", F.col("_t")))
+    fine = fine.withColumn("_ranks", _within("_ranks", F.col("_off"), F.col("_t"))).filter(F.size("_ranks") > 0)
+    last = left.drop("_off", "_ranks").join(fine.drop("_t"), ["_kb", "_f"])
+    last = last.withColumn("_off", F.col("_off") + _before(["_kb", "_f"], "_v", F.col("_c")))
+    found = last.select(F.col("_kb._key").alias("_key"), "_v", F.explode(_within("_ranks", F.col("_off"), F.col("_c"))).alias("_rank"))
+    at = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two ranks a quantile
+
+    res = groups.join(at, "_key", "left")
+    cols = []
+    for h, name in zip(places, names):
+        lo, hi, part = F.col("_at")[F.floor(h).cast("long")], F.col("_at")[F.ceil(h).cast("long")], h - F.floor(h)
+        cols.append(F.when(F.col("_n") > 0, F.when(part == 0, lo).otherwise(lo + part * (hi - lo))).alias(name))
+    return res.select(*[F.col("_key")[k].alias(k) for k in keys], *cols, *([F.col("_n").alias(count_name)] if count_name else []))

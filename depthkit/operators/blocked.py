@@ -19,9 +19,9 @@ All windows are ``partitionBy(well, block)``: task size is bounded by B + 2*halo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from depthkit import schema as S
@@ -30,8 +30,9 @@ from depthkit.operators.features import cross_curve_exprs, lithology_exprs, roll
 from depthkit.session import cut_lineage
 
 
-#: Most buckets that a series is cut into; a bucket holds about max(bucket_rows, n / MAX_BUCKETS) rows.
-MAX_BUCKETS = 1000
+#: Most buckets that a series is cut into (what a sketch of its depths can tell apart): a series of
+#: more than bucket_rows * MAX_BUCKETS rows, 2e10 by default, has larger buckets.
+MAX_BUCKETS = 20_000
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -59,11 +60,16 @@ def series_buckets(df: DataFrame, group: str | None = S.GROUP, order: str = S.OR
         st = cut_lineage(st, "series")  # borders come from a sketch: fix them for both of their uses
     else:
         st = st.withColumn("_cuts", F.lit(None).cast("array<double>"))
+    # two levels, so that a row is compared with about 2 * sqrt(buckets) borders
+    step = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
+    st = st.withColumns({"_step": step, "_coarse": F.filter("_cuts", lambda c, i: i % F.greatest(step, F.lit(1)) == 0)})
     # per-group stats: a join (broadcast only if Catalyst measures it small); global: one row
     j = join_null_safe(df, st, keys) if keys else df.crossJoin(F.broadcast(st))
-    above = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(order)))
-    j = j.withColumn("_bkt", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(above).cast("long")).drop("_cuts")
-    return j, st.drop("_cuts")
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(order)))
+    skip = (F.greatest(below(F.col("_coarse")), F.lit(1)) - 1) * F.col("_step")
+    at = F.when(F.col("_cuts").isNull(), 0).otherwise(skip + below(F.slice("_cuts", skip + 1, F.col("_step"))))
+    j = j.withColumn("_bkt", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(at).cast("long")).drop("_cuts", "_coarse", "_step")
+    return j, st.drop("_cuts", "_coarse", "_step")
 
 
 def series_index(df: DataFrame, group: str | None = S.GROUP, order: str = S.ORDER, bucket_rows: int = 1_000_000,
@@ -71,17 +77,36 @@ def series_index(df: DataFrame, group: str | None = S.GROUP, order: str = S.ORDE
     """Add ``_idx`` (0-based position in the group's order; ``group=None``: in the whole
     table) and ``_n``/``_dmin``/``_dmax``; also return the group stats.
 
-    Rows with equal ``order`` (and ``tie``) get neighbouring positions in some order and share
-    a bucket."""
+    Rows with equal ``order`` (and ``tie``) get neighbouring positions in some order, the same one
+    whenever it is computed, and share a bucket."""
     keys = [group] if group else []
-    j, st = series_buckets(df, group, order, bucket_rows)
+    j, st = series_buckets(df.withColumn("_tb", tiebreak(df)), group, order, bucket_rows)
     counts = j.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
     j = join_null_safe(j, offsets, [*keys, "_bkt"])
-    ords = [F.col(order)] + ([F.col(tie)] if tie else [])
+    ords = [F.col(order)] + ([F.col(tie)] if tie else []) + [F.col("_tb")]
     wi = Window.partitionBy(*keys, "_bkt").orderBy(*ords)
-    return j.withColumn("_idx", F.col("_off") + F.row_number().over(wi) - 1).drop("_bkt", "_off"), st
+    return j.withColumn("_idx", F.col("_off") + F.row_number().over(wi) - 1).drop("_bkt", "_off", "_tb"), st
+
+
+def tiebreak(df: DataFrame) -> Column:
+    """Fixes the order of rows that are equal in order and tie, so that a task that runs again after a lost executor agrees with its first run."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")])
+
+
+def position_exprs(order: str = S.ORDER, depth_window: tuple[float, float] = S.DEPTH_WINDOW) -> dict[str, Column]:
+    """W9, W10, P14 on a frame from ``series_index``."""
+    d = F.col(order)
+    return {
+        "depth_normalized": safe_div(d - F.col("_dmin"), F.col("_dmax") - F.col("_dmin")),
+        "depth_scaled": d / 1000.0,
+        "depth_from_top": d - F.col("_dmin"),
+        "depth_from_bottom": F.col("_dmax") - d,
+        "sequence_position": F.col("_idx").cast("long"),
+        "sequence_position_norm": F.col("_idx") / F.col("_n"),
+        "in_depth_window": flag(d.between(depth_window[0], depth_window[1])),
+    }
 
 
 def with_blocks(indexed: DataFrame, block_rows: int, halo: int) -> DataFrame:
@@ -99,6 +124,19 @@ def with_blocks(indexed: DataFrame, block_rows: int, halo: int) -> DataFrame:
     return indexed.withColumn("_cp", F.explode(copies)).withColumns({"_blk": F.col("_cp.b"), "_core": F.col("_cp.core")}).drop("_cp")
 
 
+def in_blocks(df: DataFrame, exprs: Callable[[WindowSpec], dict[str, Column]], halo: int, group: str = S.GROUP, order: str = S.ORDER,
+              tie: str | None = None, block_rows: int = 1_000_000) -> DataFrame:
+    """``df`` with window columns whose frames reach at most ``halo`` rows to either side.
+
+    ``exprs`` gets a window over the rows of one block in the order of the series.  Null series are
+    a series; null orders come first.  A task holds block_rows + 2 * halo rows of a series."""
+    block_rows = max(block_rows, halo + 1)
+    idx, _ = series_index(df, group, order, block_rows, tie)
+    b = with_blocks(idx, block_rows, halo)
+    cols = exprs(Window.partitionBy(group, "_blk").orderBy("_idx"))
+    return b.withColumns(cols).filter("_core").select(*df.columns, *[c for c in cols if c not in df.columns])
+
+
 def carried_ffill(df: DataFrame, cols: Sequence[str], group: str, block_rows: int, halo: int) -> DataFrame:
     """Exact forward fill of ``cols`` on a blocked frame (adds ``_ff_<col>``)."""
     B = block_rows
@@ -161,16 +199,7 @@ def engineer_features_blocked(df: DataFrame, target: str = S.TARGET, windows: Se
              **{f"{t}_pct_change_{k}": safe_div(F.col(f"_ff_{t}"), F.lag(F.col(f"_ff_{t}"), k).over(w)) - 1 for k in lags}}
     b = b.withColumns(lvl_b)
     b = b.withColumns({f"{t}_gradient_smooth": grad("_ff__sm"), f"{t}_curvature": grad(f"{t}_gradient")})
-    d = F.col(order)
-    depth = {
-        "depth_normalized": safe_div(d - F.col("_dmin"), F.col("_dmax") - F.col("_dmin")),
-        "depth_scaled": d / 1000.0,
-        "depth_from_top": d - F.col("_dmin"),
-        "depth_from_bottom": F.col("_dmax") - d,
-        "sequence_position": F.col("_idx").cast("long"),
-        "sequence_position_norm": F.col("_idx") / F.col("_n"),
-        "in_depth_window": flag(d.between(depth_window[0], depth_window[1])),
-    }
+    depth = position_exprs(order, depth_window)
     grad_names = [f"{t}_gradient", f"{t}_gradient_smooth", f"{t}_curvature"]
     for k in lags:
         grad_names += [f"{t}_diff_{k}", f"{t}_pct_change_{k}"]

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthkit import schema as S
-from depthkit.functions.exprs import reverse_window, series_window
 from depthkit.functions.quantiles import group_quantiles
+from depthkit.operators.blocked import in_blocks, join_null_safe
+from depthkit.operators.carry import BLOCK_ROWS, neighbours
+from depthkit.session import cut_lineage
 
 
 def _stack(wide: DataFrame, keys: Sequence[str], names: Sequence[str], cols: dict[str, list[str]]) -> DataFrame:
@@ -27,14 +29,13 @@ def _stack(wide: DataFrame, keys: Sequence[str], names: Sequence[str], cols: dic
 
 def well_inventory(df: DataFrame, curves: Sequence[str], group: str = S.GROUP, order: str = S.ORDER) -> DataFrame:
     """Depth range, row count, median step, direction and present-curve list per group."""
-    w = series_window(group, order)
-    steps = df.withColumn("_s", F.col(order) - F.lag(order).over(w))
+    steps = in_blocks(df, lambda w: {"_s": F.col(order) - F.lag(order).over(w)}, 1, group, order)
     agg = steps.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(order).alias("min_depth"), F.max(order).alias("max_depth"),
         F.concat_ws(",", F.array_compact(F.array(*[F.when(F.count(c) > 0, F.lit(c)) for c in sorted(curves)]))).alias("curves"),
     )
     med = group_quantiles(steps, [group], "_s", [0.5], ["median_step"])
-    return agg.join(med, group, "left").withColumn(
+    return join_null_safe(agg, med, [group], "left").withColumn(
         "direction", F.when(F.col("median_step") > 0, "down").when(F.col("median_step") < 0, "up").otherwise("flat"))
 
 
@@ -76,32 +77,29 @@ def curve_distribution(df: DataFrame, curves: Sequence[str]) -> DataFrame:
 
 
 def well_boxplot(df: DataFrame, x: str, group: str = S.GROUP) -> DataFrame:
-    """Quartiles, whiskers (last values within 1.5 IQR) and flier count per group."""
+    """Quartiles, whiskers (last values within 1.5 IQR) and flier count per group (NULL and 0 without values)."""
     q = group_quantiles(df, [group], x, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = df.select(group, F.col(x).alias("_x")).filter(F.col("_x").isNotNull()).join(q, group)
+    q = cut_lineage(q.withColumn("iqr", F.col("q3") - F.col("q1")), "quartiles")  # a row per group, used twice
+    j = df.select(group, F.col(x).alias("_x")).filter(F.col("_x").isNotNull())
+    j = join_null_safe(j, q, [group])
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
     w = j.groupBy(group).agg(F.min(F.when(F.col("_x") >= lo, F.col("_x"))).alias("whisker_lo"),
                              F.max(F.when(F.col("_x") <= hi, F.col("_x"))).alias("whisker_hi"),
                              F.count_if((F.col("_x") < lo) | (F.col("_x") > hi)).alias("n_fliers"))
-    return q.join(w, group)
+    return join_null_safe(q, w, [group], "left").withColumn("n_fliers", F.coalesce("n_fliers", F.lit(0).cast("long")))
 
 
-def gap_runs(df: DataFrame, x: str, group: str = S.GROUP, order: str = S.ORDER) -> DataFrame:
+def gap_runs(df: DataFrame, x: str, group: str = S.GROUP, order: str = S.ORDER, tie: str | None = None,
+             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Runs of consecutive NULLs (gaps-and-islands); one row per run with its extent.
 
-    The run id is the running count of valid rows, constant inside a gap, so the islands need
-    no second partitioning."""
-    w = series_window(group, order)
-    t = df.select(group, order, F.col(x).isNull().alias("_null"),
-                  F.count(F.col(x)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"),
-                  F.last(F.when(F.col(x).isNotNull(), F.col(order)), True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_pv"),
-                  F.last(F.when(F.col(x).isNotNull(), F.col(order)), True).over(reverse_window(group, order)).alias("_nv"))
-    g = t.filter("_null").groupBy(group, "_run").agg(
-        F.min(order).alias("start_depth"), F.max(order).alias("end_depth"), F.count(F.lit(1)).alias("n_rows"),
-        F.first("_pv", True).alias("prev_valid"), F.first("_nv", True).alias("next_valid"))
-    return g.select(group, "start_depth", "end_depth", "n_rows",
-                    (F.col("next_valid") - F.col("prev_valid")).alias("gap_length"))
+    A run is named by the position of the last valid row before it, so the islands need no
+    window of their own, and a run of any length is summed up before it is shuffled."""
+    t = neighbours(df, [x], group, order, tie, block_rows).filter(F.col(x).isNull())
+    p, n = F.col(f"_prev_{x}"), F.col(f"_next_{x}")
+    g = t.groupBy(group, p["i"].alias("_run"), (n["d"] - p["d"]).alias("gap_length")).agg(
+        F.min(order).alias("start_depth"), F.max(order).alias("end_depth"), F.count(F.lit(1)).alias("n_rows"))
+    return g.select(group, "start_depth", "end_depth", "n_rows", "gap_length")
 
 
 def gap_summary(runs: DataFrame, group: str = S.GROUP) -> DataFrame:
@@ -133,20 +131,22 @@ def pair_corr(df: DataFrame, curves: Sequence[str]) -> DataFrame:
         F.regr_intercept("y", "x").alias("intercept"))
 
 
-def smoothing(df: DataFrame, x: str, window: int = 5, group: str = S.GROUP, order: str = S.ORDER) -> DataFrame:
+def smoothing(df: DataFrame, x: str, window: int = 5, group: str = S.GROUP, order: str = S.ORDER, tie: str | None = None) -> DataFrame:
     """Centered moving average and running median over ``window`` rows."""
-    w = series_window(group, order)
     half = window // 2
-    fr = w.rowsBetween(-half, window - 1 - half)
-    return df.withColumns({f"{x}_ma_{window}": F.avg(x).over(fr),
-                           f"{x}_rmed_{window}": F.percentile(F.col(x), F.lit(0.5)).over(fr)})
+
+    def exprs(w):
+        fr = w.rowsBetween(-half, window - 1 - half)
+        return {f"{x}_ma_{window}": F.avg(x).over(fr), f"{x}_rmed_{window}": F.percentile(F.col(x), F.lit(0.5)).over(fr)}
+
+    return in_blocks(df, exprs, window, group, order, tie)
 
 
 def autocorrelation(df: DataFrame, x: str, lags: Sequence[int] = (1, 2, 5, 10, 20), group: str = S.GROUP,
-                    order: str = S.ORDER, threshold: float = 0.3) -> DataFrame:
+                    order: str = S.ORDER, threshold: float = 0.3, tie: str | None = None) -> DataFrame:
     """corr(x, lag(x, k)) within groups for each k; correlation length = first k below threshold."""
-    w = series_window(group, order)
-    t = df.select(F.col(x).alias("_x"), *[F.lag(x, k).over(w).alias(f"_l{k}") for k in lags])
+    t = in_blocks(df.select(group, order, *([tie] if tie else []), F.col(x).alias("_x")),
+                  lambda w: {f"_l{k}": F.lag("_x", k).over(w) for k in lags}, max(lags), group, order, tie)
     wide = t.agg(*[F.corr("_x", f"_l{k}").alias(f"_r{k}") for k in lags])
     arr = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_r{k}").alias("autocorr")) for k in lags])
     out = wide.select(F.explode(arr).alias("_a")).select("_a.*")
@@ -155,37 +155,43 @@ def autocorrelation(df: DataFrame, x: str, lags: Sequence[int] = (1, 2, 5, 10, 2
 
 
 def mad_iqr_flags(df: DataFrame, x: str, group: str = S.GROUP, order: str = S.ORDER,
-                  mad_k: float = 3.5, iqr_k: float = 1.5) -> DataFrame:
+                  mad_k: float = 3.5, iqr_k: float = 1.5, tie: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Two-sided robust flags per row (modified z-score and IQR fences), and whether a
-    flagged row is an isolated spike or part of a flagged interval."""
-    q = group_quantiles(df, [group], x, [0.25, 0.5, 0.75], ["_q1", "_med", "_q3"])
-    dev = df.select(group, F.col(x).alias("_x")).join(q.select(group, "_med"), group)
+    flagged row is an isolated spike or part of a flagged interval.
+
+    All rows stay: rows without a group are a group, and a group without values has no flags."""
+    q = cut_lineage(group_quantiles(df, [group], x, [0.25, 0.5, 0.75], ["_q1", "_med", "_q3"]), "quartiles")  # a row per group
+    dev = join_null_safe(df.select(group, F.col(x).alias("_x")), q.select(group, "_med"), [group])
     mad = group_quantiles(dev.select(group, F.abs(F.col("_x") - F.col("_med")).alias("_ad")), [group], "_ad", [0.5], ["_mad"])
-    j = df.join(q, group).join(mad, group)
+    q = cut_lineage(join_null_safe(q, mad, [group], "left"), "quartiles")
+    j = join_null_safe(df, q, [group], "left")
     mz = F.try_divide(0.6745 * (F.col(x) - F.col("_med")), F.col("_mad"))
     iqr = F.col("_q3") - F.col("_q1")
     t = j.withColumns({
         "mad_flag": F.coalesce(F.abs(mz) > mad_k, F.lit(False)),
         "iqr_flag": F.coalesce((F.col(x) < F.col("_q1") - iqr_k * iqr) | (F.col(x) > F.col("_q3") + iqr_k * iqr), F.lit(False)),
     })
-    w = series_window(group, order)
     flag = F.col("iqr_flag")
-    t = t.withColumn("outlier_kind", F.when(~flag, F.lit(None)).when(
-        F.coalesce(F.lag(flag).over(w), F.lit(False)) | F.coalesce(F.lead(flag).over(w), F.lit(False)), "interval").otherwise("spike"))
+    t = t.select(*df.columns, "mad_flag", "iqr_flag")
+    t = in_blocks(t, lambda w: {"outlier_kind": F.when(~flag, F.lit(None)).when(
+        F.coalesce(F.lag(flag).over(w), F.lit(False)) | F.coalesce(F.lead(flag).over(w), F.lit(False)), "interval").otherwise("spike")}, 1, group, order, tie, block_rows)
     return t.select(*df.columns, "mad_flag", "iqr_flag", "outlier_kind")
 
 
-def running_moments(df: DataFrame, x: str, window: int = 20, group: str = S.GROUP, order: str = S.ORDER) -> DataFrame:
+def running_moments(df: DataFrame, x: str, window: int = 20, group: str = S.GROUP, order: str = S.ORDER, tie: str | None = None) -> DataFrame:
     """Trailing mean and sample variance over ``window`` rows (stationarity check)."""
-    fr = series_window(group, order).rowsBetween(-(window - 1), 0)
-    return df.withColumns({f"{x}_run_mean_{window}": F.avg(x).over(fr), f"{x}_run_var_{window}": F.var_samp(x).over(fr)})
+    def exprs(w):
+        fr = w.rowsBetween(-(window - 1), 0)
+        return {f"{x}_run_mean_{window}": F.avg(x).over(fr), f"{x}_run_var_{window}": F.var_samp(x).over(fr)}
+
+    return in_blocks(df, exprs, window, group, order, tie)
 
 
 def zscores(df: DataFrame, x: str, group: str = S.GROUP) -> DataFrame:
-    """Per-group and global z-scores (sample std)."""
+    """Per-group and global z-scores (sample std); rows without a group are a group."""
     g = df.groupBy(group).agg(F.avg(x).alias("_gm"), F.stddev_samp(x).alias("_gs"))
     a = df.agg(F.avg(x).alias("_am"), F.stddev_samp(x).alias("_as"))
-    j = df.join(g, group).crossJoin(F.broadcast(a))
+    j = join_null_safe(df, g, [group], "left").crossJoin(F.broadcast(a))
     return j.withColumns({f"{x}_z_well": F.try_divide(F.col(x) - F.col("_gm"), F.col("_gs")),
                           f"{x}_z_global": F.try_divide(F.col(x) - F.col("_am"), F.col("_as"))}).select(
         *df.columns, f"{x}_z_well", f"{x}_z_global")
@@ -200,19 +206,17 @@ def target_feasibility(df: DataFrame, curves: Sequence[str], group: str = S.GROU
 
 
 def gap_policy(df: DataFrame, x: str, group: str = S.GROUP, order: str = S.ORDER,
-               interpolate_below: float = 10.0, exclude_above: float = 100.0) -> DataFrame:
+               interpolate_below: float = 10.0, exclude_above: float = 100.0, tie: str | None = None,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Interpolate gaps shorter than ``interpolate_below`` (linear in depth) and flag rows
     of gaps longer than ``exclude_above`` as not for training."""
-    w = series_window(group, order)
-    d = F.col(order)
-    pt = F.when(F.col(x).isNotNull(), F.struct(d.alias("d"), F.col(x).alias("v")))
-    t = df.withColumns({"_p": F.last(pt, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                        "_n": F.last(pt, True).over(reverse_window(group, order))})
-    glen = F.col("_n.d") - F.col("_p.d")
-    interp = F.coalesce(F.try_divide(F.col("_n.v") - F.col("_p.v"), glen), F.lit(0.0)) * (d - F.col("_p.d")) + F.col("_p.v")
+    t = neighbours(df, [x], group, order, tie, block_rows)
+    p, n = F.col(f"_prev_{x}"), F.col(f"_next_{x}")
+    glen = n["d"] - p["d"]
+    interp = F.coalesce(F.try_divide(n["v"] - p["v"], glen), F.lit(0.0)) * (F.col(order) - p["d"]) + p["v"]
     filled = F.when(F.col(x).isNotNull(), F.col(x)).when(glen < interpolate_below, interp)
-    dnt = F.col(x).isNull() & (F.col("_p").isNull() | F.col("_n").isNull() | (glen > exclude_above))
-    return t.withColumns({f"{x}_filled": filled, "do_not_train": dnt}).drop("_p", "_n")
+    dnt = F.col(x).isNull() & (p.isNull() | n.isNull() | (glen > exclude_above))
+    return t.withColumns({f"{x}_filled": filled, "do_not_train": dnt}).select(*df.columns, f"{x}_filled", "do_not_train")
 
 
 def mahalanobis2(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -227,12 +231,13 @@ def mahalanobis2(df: DataFrame, a: str, b: str) -> DataFrame:
     return j.withColumn("mahalanobis", F.sqrt(q)).select(*df.columns, "mahalanobis")
 
 
-def neighbor_features(df: DataFrame, x: str, k: int = 3, group: str = S.GROUP, order: str = S.ORDER) -> DataFrame:
+def neighbor_features(df: DataFrame, x: str, k: int = 3, group: str = S.GROUP, order: str = S.ORDER, tie: str | None = None) -> DataFrame:
     """Values of the k rows above and below (gap-filling regression input)."""
-    w = series_window(group, order)
-    cols = {}
-    for j in range(1, k + 1):
-        cols[f"{x}_prev_{j}"] = F.lag(x, j).over(w)
-        cols[f"{x}_next_{j}"] = F.lead(x, j).over(w)
-    return df.withColumns(cols)
-
+    def exprs(w):
+        cols = {}
+        for j in range(1, k + 1):
+            cols[f"{x}_prev_{j}"] = F.lag(x, j).over(w)
+            cols[f"{x}_next_{j}"] = F.lead(x, j).over(w)
+        return cols
+
+    return in_blocks(df, exprs, k, group, order, tie)

@@ -77,34 +77,22 @@ def pct_change_expr(f: str, w: WindowSpec, lag: int) -> Column:
 
 
 def rolling_features(df: DataFrame, target: str = S.TARGET, windows: Sequence[int] = S.ROLLING_WINDOWS,
-                     group: str = S.GROUP, order: str = S.ORDER, quantiles: bool = True) -> DataFrame:
-    w = series_window(group, order)
-    return df.withColumns(rolling_exprs(target, w, windows, quantiles))
+                     group: str = S.GROUP, order: str = S.ORDER, quantiles: bool = True, tie: str | None = None,
+                     block_rows: int = 1_000_000) -> DataFrame:
+    """W1-W3, series cut into blocks."""
+    from depthkit.operators.blocked import in_blocks
+    return in_blocks(df, lambda w: rolling_exprs(target, w, windows, quantiles), max(windows), group, order, tie, block_rows)
 
 
 def gradient_features(df: DataFrame, target: str = S.TARGET, lags: Sequence[int] = S.DIFF_LAGS,
-                      group: str = S.GROUP, order: str = S.ORDER) -> DataFrame:
-    """Gradient, smoothed gradient, curvature, differences, percent changes."""
-    w = series_window(group, order)
-    t = target
-    lvl_a = {
-        "_ff": ffill(t, w),
-        "_sm": centered_mean3(t, w),
-        **{f"{t}_diff_{k}": F.col(t) - F.lag(F.col(t), k).over(w) for k in lags},
-    }
-    lvl_b = {
-        f"{t}_gradient": gradient_expr("_ff", w),
-        "_smf": ffill("_sm", w),
-        **{f"{t}_pct_change_{k}": pct_change_expr("_ff", w, k) for k in lags},
-    }
-    lvl_c = {
-        f"{t}_gradient_smooth": gradient_expr("_smf", w),
-        f"{t}_curvature": gradient_expr(f"{t}_gradient", w),
-    }
-    out = df.withColumns(lvl_a).withColumns(lvl_b).withColumns(lvl_c).drop("_ff", "_sm", "_smf")
-    names = [f"{t}_gradient", f"{t}_gradient_smooth", f"{t}_curvature"]
+                      group: str = S.GROUP, order: str = S.ORDER, tie: str | None = None,
+                      block_rows: int = 1_000_000) -> DataFrame:
+    """Gradient, smoothed gradient, curvature, differences, percent changes, series cut into blocks."""
+    from depthkit.operators.blocked import engineer_features_blocked
+    out = engineer_features_blocked(df, target, [], lags, group, order, block_rows=block_rows, tie=tie)
+    names = [f"{target}_gradient", f"{target}_gradient_smooth", f"{target}_curvature"]
     for k in lags:
-        names += [f"{t}_diff_{k}", f"{t}_pct_change_{k}"]
+        names += [f"{target}_diff_{k}", f"{target}_pct_change_{k}"]
     return out.select(*df.columns, *names)
 
 
@@ -127,8 +115,12 @@ def depth_exprs(w: WindowSpec, order: str = S.ORDER,
 
 
 def depth_features(df: DataFrame, group: str = S.GROUP, order: str = S.ORDER,
-                   depth_window: tuple[float, float] = S.DEPTH_WINDOW) -> DataFrame:
-    return df.withColumns(depth_exprs(series_window(group, order), order, depth_window))
+                   depth_window: tuple[float, float] = S.DEPTH_WINDOW, tie: str | None = None,
+                   block_rows: int = 1_000_000) -> DataFrame:
+    """W9, W10, P14 from the position index and the statistics of each series."""
+    from depthkit.operators.blocked import position_exprs, series_index
+    idx, _ = series_index(df, group, order, block_rows, tie)
+    return idx.select(*df.columns, *[v.alias(k) for k, v in position_exprs(order, depth_window).items()])
 
 
 def gr_intensity_exprs(gr: str = "GR") -> dict[str, Column]:

@@ -8,45 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthkit import schema as S
-from depthkit.functions.exprs import bfill, ffill, numeric_curves, reverse_window, series_window
+from depthkit.functions.exprs import numeric_curves
 from depthkit.functions.quantiles import group_quantiles
+from depthkit.operators.blocked import join_null_safe
+from depthkit.operators.carry import BLOCK_ROWS, neighbours
 
 
 def fill_forward_backward(df: DataFrame, curves: Sequence[str], group: str = S.GROUP, order: str = S.ORDER,
-                          suffix: tuple[str, str] = ("_ffill", "_bfill")) -> DataFrame:
+                          suffix: tuple[str, str] = ("_ffill", "_bfill"), tie: str | None = None,
+                          block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add forward-filled and backward-filled copies of each curve."""
-    w = series_window(group, order)
-    cols = {}
+    near = neighbours(df, curves, group, order, tie, block_rows)
+    fills = {}
     for c in curves:
-        cols[c + suffix[0]] = ffill(c, w)
-        cols[c + suffix[1]] = bfill(c, group, order)
-    return df.withColumns(cols)
+        fills[c + suffix[0]] = F.col(f"_prev_{c}.v")
+        fills[c + suffix[1]] = F.col(f"_next_{c}.v")
+    return near.select(*df.columns, *[v.alias(k) for k, v in fills.items()])
 
 
-def interpolate_exprs(curves: Sequence[str], group: str, order: str, pos: str) -> dict[str, Column]:
-    """Linear interpolation over the row position ``pos``; ends take the nearest value."""
-    out = {}
-    upto = series_window(group, order).rowsBetween(Window.unboundedPreceding, 0)
-    onward = reverse_window(group, order)
-    for c in curves:
-        pt = F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("i"), F.col(c).alias("v")))
-        p = F.last(pt, ignorenulls=True).over(upto)
-        n = F.last(pt, ignorenulls=True).over(onward)
-        slope = (n["v"] - p["v"]) / (n["i"] - p["i"])
-        out[c] = F.coalesce(
-            F.col(c),
-            F.when(p.isNotNull() & n.isNotNull(), slope * (F.col(pos) - p["i"]) + p["v"]),
-            p["v"],
-            n["v"],
-        )
-    return out
+def interpolated(c: str) -> Column:
+    """The curve on a frame from ``carry.neighbours``, gaps filled linearly over the row position; ends take the nearest value."""
+    p, n = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
+    slope = F.try_divide(n["v"] - p["v"], n["i"] - p["i"])
+    between = F.when(p.isNotNull() & n.isNotNull(), slope * (F.col("_idx") - p["i"]) + p["v"])
+    return F.coalesce(F.col(c), between, p["v"], n["v"])
 
 
-def interpolate_index(df: DataFrame, curves: Sequence[str], group: str = S.GROUP, order: str = S.ORDER) -> DataFrame:
+def interpolate_index(df: DataFrame, curves: Sequence[str], group: str = S.GROUP, order: str = S.ORDER,
+                      tie: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Fill NULLs by linear interpolation over the row index, both ends by the nearest value."""
-    w = series_window(group, order)
-    tmp = df.withColumn("_pos", F.row_number().over(w))
-    return tmp.withColumns(interpolate_exprs(curves, group, order, "_pos")).drop("_pos")
+    near = neighbours(df, curves, group, order, tie, block_rows)
+    return near.select(*[interpolated(c).alias(c) if c in curves else F.col(c) for c in df.columns])
 
 
 def curve_medians(df: DataFrame, curves: Sequence[str], group: str | None = S.GROUP) -> DataFrame:
@@ -54,7 +46,7 @@ def curve_medians(df: DataFrame, curves: Sequence[str], group: str | None = S.GR
     keys = [group] if group else []
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in curves)
     long = df.selectExpr(*keys, f"stack({len(curves)}, {stack}) as (_curve, _v)").filter(F.col("_v").isNotNull())
-    med = group_quantiles(long, keys + ["_curve"], "_v", [0.5], ["_m"])
+    med = group_quantiles(long, keys + ["_curve"], "_v", [0.5], ["_m"])  # a row per (group, curve) that has a row in long
     return med.groupBy(*keys).agg(*[F.max(F.when(F.col("_curve") == c, F.col("_m"))).alias(f"_med_{c}") for c in curves])
 
 
@@ -108,7 +100,8 @@ def imputation_plan(df: DataFrame, curves: Sequence[str], group: str = S.GROUP,
 
 def impute_policy(df: DataFrame, curves: Sequence[str] | None = None, group: str = S.GROUP, order: str = S.ORDER,
                   threshold: float = S.IMPUTATION_THRESHOLD, interp_below: float = S.INTERPOLATE_BELOW_PCT,
-                  with_flags: bool = False, materialize: bool = True, min_usable_rows: int = S.MIN_USABLE_ROWS):
+                  with_flags: bool = False, materialize: bool = True, min_usable_rows: int = S.MIN_USABLE_ROWS,
+                  block_rows: int = BLOCK_ROWS):
     """Per (group, curve) choose the fill by the curve's missing percentage.
 
     0 % -> unchanged; < ``interp_below`` -> W11; < ``threshold`` -> neighbour-curve branch;
@@ -130,8 +123,8 @@ def impute_policy(df: DataFrame, curves: Sequence[str] | None = None, group: str
     small = stats.agg(*[F.max((F.col(f"_pct_{c}") > 0) & (F.col(f"_pct_{c}") < interp_below)).alias(c) for c in curves]).first()
     gaps = [c for c in curves if small[c]]
     if gaps:
-        rows = rows.withColumn("_pos", F.row_number().over(series_window(group, order)))
-    interp = interpolate_exprs(gaps, group, order, "_pos")
+        rows = neighbours(rows, gaps, group, order, block_rows=block_rows)
+    interp = {c: interpolated(c) for c in gaps}
     kept = F.coalesce(F.element_at("_stay", F.col("_mask")), F.lit(0).cast("long"))
     out = {}
     for i, c in enumerate(curves):
@@ -153,14 +146,16 @@ def missing_flags(stats: DataFrame, curves: Sequence[str], group: str, threshold
 
 
 def impute_median(df: DataFrame, curves: Sequence[str], group: str | None = S.GROUP) -> DataFrame:
-    """Median fill per group (or globally when ``group`` is None)."""
+    """Median fill per group (or globally when ``group`` is None).
+
+    Rows without a group are a group; a curve without any value in a group stays NULL there."""
     meds = curve_medians(df, curves, group)
-    j = df.join(meds, group) if group else df.crossJoin(F.broadcast(meds))
+    j = join_null_safe(df, meds, [group], "left") if group else df.crossJoin(F.broadcast(meds))
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in curves}).select(*df.columns)
 
 
 def impute_by_family(df: DataFrame, features: Sequence[str], group: str = S.GROUP, order: str = S.ORDER,
-                     family=None, materialize: bool = True) -> DataFrame:
+                     family=None, materialize: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Fill feature NULLs by family, within each group in depth order.
 
     rolling -> forward fill, backward fill, then the global median;
@@ -179,22 +174,20 @@ def impute_by_family(df: DataFrame, features: Sequence[str], group: str = S.GROU
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in feats]).first().asDict()
     todo = [c for c in feats if nulls[c] > 0]
     need_med = [c for c in todo if family(c) != "gradient"]
-    w = series_window(group, order)
-    t = df.withColumn("_pos", F.row_number().over(w))
+    ordered = [c for c in todo if family(c) in ("rolling", "gradient", "ratio")]
+    t = neighbours(df, ordered, group, order, block_rows=block_rows) if ordered else df
     if need_med:
         t = t.crossJoin(F.broadcast(curve_medians(df, need_med, None)))
-    feats = todo
-    interp = interpolate_exprs([c for c in feats if family(c) in ("gradient", "ratio")], group, order, "_pos")
     out = {}
-    for c in feats:
+    for c in todo:
         fam = family(c)
         med = F.col(f"_med_{c}")
         if fam == "rolling":
-            out[c] = F.coalesce(F.col(c), ffill(c, w), bfill(c, group, order), med)
+            out[c] = F.coalesce(F.col(f"_prev_{c}.v"), F.col(f"_next_{c}.v"), med)
         elif fam == "gradient":
-            out[c] = F.coalesce(interp[c], F.lit(0.0))
+            out[c] = F.coalesce(interpolated(c), F.lit(0.0))
         elif fam == "ratio":
-            out[c] = F.coalesce(interp[c], med)
+            out[c] = F.coalesce(interpolated(c), med)
         else:
             out[c] = F.coalesce(F.col(c), med)
     return t.withColumns(out).select(*df.columns) if out else df

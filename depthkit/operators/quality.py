@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthkit import schema as S
 from depthkit.functions.exprs import numeric_curves, sentinel_to_null
 from depthkit.functions.quantiles import group_quantiles
+from depthkit.operators.blocked import in_blocks, join_null_safe
 
 
 def apply_sentinels(df: DataFrame, curves: Sequence[str] | None = None,
@@ -79,14 +80,14 @@ def mad_outliers(df: DataFrame, target: str = S.TARGET, group: str = S.GROUP,
     from depthkit.session import cut_lineage
     x = F.col(target)
     vals = cut_lineage(df.select(group, x.alias("_x")).filter(F.col("_x").isNotNull()), "mad-input")
-    med = group_quantiles(vals, [group], "_x", [0.5], ["median"], materialize=False)
-    dev = vals.join(med, group).select(group, F.abs(F.col("_x") - F.col("median")).alias("_d"))
+    med = cut_lineage(group_quantiles(vals, [group], "_x", [0.5], ["median"]), "medians")  # a row per group, used three times
+    dev = join_null_safe(vals, med, [group]).select(group, F.abs(F.col("_x") - F.col("median")).alias("_d"))
     mad = group_quantiles(dev, [group], "_d", [0.5], ["mad"])
-    lim = med.join(mad, group).withColumn("limit", F.col("median") + k * F.col("mad"))
-    counts = vals.join(lim.select(group, "limit"), group).groupBy(group).agg(
+    lim = cut_lineage(join_null_safe(med, mad, [group]).withColumn("limit", F.col("median") + k * F.col("mad")), "limits")
+    counts = join_null_safe(vals, lim.select(group, "limit"), [group]).groupBy(group).agg(
         F.count(F.lit(1)).alias("n_valid"), F.count_if(F.col("_x") > F.col("limit")).alias("n_outliers")
     )
-    out = lim.join(counts, group)
+    out = join_null_safe(lim, counts, [group])
     return out.select(
         group, "median", "mad", "limit", "n_valid", "n_outliers",
         (F.col("n_outliers") > F.col("n_valid") * flag_fraction).alias("flagged"),
@@ -96,10 +97,8 @@ def mad_outliers(df: DataFrame, target: str = S.TARGET, group: str = S.GROUP,
 def depth_step_report(df: DataFrame, group: str = S.GROUP, order: str = S.ORDER,
                       file_order: str = S.SRC_ROW) -> DataFrame:
     """Inventory and step statistics in file order."""
-    w = Window.partitionBy(group).orderBy(file_order)
-    step = F.col(order) - F.lag(F.col(order)).over(w)
-    steps = df.select(group, file_order, F.col(order).alias("_d"), step.alias("_s"),
-                      F.row_number().over(w).alias("_rn"))
+    rows = df.select(group, file_order, F.col(order).alias("_d"))
+    steps = in_blocks(rows, lambda w: {"_s": F.col("_d") - F.lag("_d").over(w), "_rn": F.col("_idx") + 1}, 1, group, file_order)
     agg = steps.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_records"),
         F.min_by("_d", file_order).alias("first_depth"),
@@ -112,7 +111,7 @@ def depth_step_report(df: DataFrame, group: str = S.GROUP, order: str = S.ORDER,
         F.max("_s").alias("max_step"),
     )
     med = group_quantiles(steps, [group], "_s", [0.5], ["median_step"])
-    out = agg.join(med, group, "left")
+    out = join_null_safe(agg, med, [group], "left")
     return out.withColumn(
         "direction",
         F.when(F.col("last_depth") > F.col("first_depth"), "increasing")
@@ -120,13 +119,6 @@ def depth_step_report(df: DataFrame, group: str = S.GROUP, order: str = S.ORDER,
     )
 
 
-def quality_flags(null_rep: DataFrame, threshold: float = S.IMPUTATION_THRESHOLD, group: str = S.GROUP) -> DataFrame:
-    """Curves at or above the imputation threshold, as (group, curve, issue, percentage)."""
-    return null_rep.filter(F.col("null_pct") >= threshold).select(
-        group, "curve", F.lit("high_missing").alias("issue"), F.col("null_pct").alias("percentage")
-    )
-
-
 def qc_report(df: DataFrame, target: str = S.TARGET, curves: Sequence[str] | None = None,
               group: str = S.GROUP, order: str = S.ORDER, file_order: str = S.SRC_ROW) -> DataFrame:
     """Per-group QC table with a flags array (A1-A5, A10) like the per-file report."""
@@ -140,7 +132,9 @@ def qc_report(df: DataFrame, target: str = S.TARGET, curves: Sequence[str] | Non
             "%s: %.1f%% missing", "curve", F.floor(F.col("null_pct") * 10 + 0.5) / 10)))).alias("_nf")
     )
     steps = depth_step_report(df, group, order, file_order).select(group, "n_reversals")
-    out = stats.join(mad, group, "left").join(score, group).join(nulls, group).join(steps, group)
+    out = join_null_safe(stats, mad, [group], "left")
+    for part in (score, nulls, steps):
+        out = join_null_safe(out, part, [group])
     flags = F.concat(
         F.when(F.col("n_reversals") > 0, F.array(F.format_string("Depth reversals detected: %d", "n_reversals"))).otherwise(F.array()),
         F.col("_nf"),

@@ -1,9 +1,9 @@
 """Regular-grid resampling (J1) and duplicate-depth removal.
 
 J1 is a two-sided as-of join expressed without a range join: grid rows are generated per
-group from ``(min, max)`` and unioned with the samples; one window ordered by
-``(depth, kind, file_order)`` finds, per grid row and curve, the nearest valid sample at or
-above and at or below.  One shuffle by group, no theta join, no pairs.
+group from ``(min, max)``, in blocks of indices, and unioned with the samples; the block carry
+(``carry.asof_neighbours``) finds, per grid row and curve, the nearest valid sample at or
+above and at or below.  No theta join, no pairs, no series in one task, no array per series.
 """
 
 from __future__ import annotations
@@ -14,21 +14,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthkit import schema as S
-from depthkit.functions.exprs import full_frame, numeric_curves
+from depthkit.functions.exprs import numeric_curves
+from depthkit.operators.carry import BLOCK_ROWS, asof_neighbours
+
+
+#: Grid points that are made from one row.
+GRID_BLOCK = 65_536
 
 
 def dedupe_depth(df: DataFrame, group: str = S.GROUP, order: str = S.ORDER, file_order: str = S.SRC_ROW) -> DataFrame:
-    """Keep the first row (in file order) of each (group, depth)."""
-    w = Window.partitionBy(group).orderBy(order, file_order)
-    tmp = df.withColumn("_prev", F.lag(F.col(order)).over(w))
-    return tmp.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col(order))).drop("_prev")
+    """Keep the first row (in file order) of each (group, depth); rows without a depth all stay.
+
+    The window is by (group, depth), and Spark keeps the first row of each before the shuffle too,
+    so neither a long series nor a depth with very many rows is gathered."""
+    known = df.filter(F.col(order).isNotNull())
+    first = known.withColumn("_k", F.row_number().over(Window.partitionBy(group, order).orderBy(file_order))).filter("_k = 1").drop("_k")
+    return first.unionByName(df.filter(F.col(order).isNull()))
 
 
-def depth_grid(df: DataFrame, step: float = S.TARGET_STEP, group: str = S.GROUP, order: str = S.ORDER) -> DataFrame:
-    """Grid rows (group, i, DEPTH): n = int((max-min)/step)+1 points from min to max inclusive."""
-    st = df.groupBy(group).agg(F.min(order).alias("_mn"), F.max(order).alias("_mx"))
+def depth_grid(df: DataFrame, step: float = S.TARGET_STEP, group: str = S.GROUP, order: str = S.ORDER,
+               block: int = GRID_BLOCK) -> DataFrame:
+    """Grid rows (group, i, DEPTH): n = int((max-min)/step)+1 points from min to max inclusive.
+
+    A series becomes one row per ``block`` points first, and those are dealt out before they
+    become points, so a series with a far outlier is no single large array.  A series without depths has no grid."""
+    st = df.groupBy(group).agg(F.min(order).alias("_mn"), F.max(order).alias("_mx")).filter(F.col("_mn").isNotNull())
     st = st.withColumn("_n", (F.floor((F.col("_mx") - F.col("_mn")) / F.lit(float(step)))).cast("long") + 1)
-    g = st.select(group, "_mn", "_mx", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"))
+    last = F.col("_n") - 1
+    blocks = st.select(group, "_mn", "_mx", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / block).cast("long"))).alias("_b"))
+    blocks = blocks.repartition(group, "_b")
+    g = blocks.select(group, "_mn", "_mx", "_n", F.explode(F.sequence(F.col("_b") * block, F.least(last, (F.col("_b") + 1) * block - 1))).alias("_i"))
     d = (
         F.when(F.col("_n") == 1, F.col("_mn"))
         .when(F.col("_i") == F.col("_n") - 1, F.col("_mx"))
@@ -38,44 +53,27 @@ def depth_grid(df: DataFrame, step: float = S.TARGET_STEP, group: str = S.GROUP,
 
 
 def resample(df: DataFrame, curves: Sequence[str] | None = None, step: float = S.TARGET_STEP,
-             group: str = S.GROUP, order: str = S.ORDER, file_order: str = S.SRC_ROW) -> DataFrame:
+             group: str = S.GROUP, order: str = S.ORDER, file_order: str = S.SRC_ROW,
+             block_rows: int = BLOCK_ROWS, grid_block: int = GRID_BLOCK) -> DataFrame:
     """Linear interpolation of every curve onto the regular grid of its group.
 
     Per curve: duplicate depths keep the first valid sample in file order; grid points
     outside the curve's valid span are NULL; curves with fewer than two valid samples are
-    NULL throughout.
+    NULL throughout.  Rows without a group are a group; rows without a depth are no samples.
     """
     curves = list(curves) if curves is not None else numeric_curves(df, exclude=[file_order])
-    samples = df.select(group, order, F.col(file_order).cast("long").alias("_fo"), F.lit(0).alias("_k"), *curves)
-    grid = depth_grid(df, step, group, order).select(
-        group, order, F.lit(None).cast("long").alias("_fo"), F.lit(1).alias("_k"),
-        *[F.lit(None).cast("double").alias(c) for c in curves])
-    u = samples.unionByName(grid)
-    w = Window.partitionBy(group).orderBy(order, "_k", "_fo")
-    back = w.rowsBetween(Window.unboundedPreceding, -1)
+    samples = df.select(group, order, F.col(file_order).cast("long").alias("_fo"), F.lit(False).alias("_grid"), *curves)
+    grid = depth_grid(df, step, group, order, grid_block).select(
+        group, order, F.lit(None).cast("long").alias("_fo"), F.lit(True).alias("_grid"),
+        *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in curves])
+    u = asof_neighbours(samples.filter(F.col(order).isNotNull()).unionByName(grid), curves, "_grid", "_fo", group, order, block_rows)
     d = F.col(order)
-    lvl1 = {}
-    for c in curves:
-        prev_d = F.last(F.when(F.col(c).isNotNull(), d), ignorenulls=True).over(back)
-        lvl1[c] = F.when(F.col(c).isNotNull() & (prev_d.isNull() | (prev_d != d)), F.col(c))
-    u = u.withColumns(lvl1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    onward = Window.partitionBy(group).orderBy(F.col(order).desc(), F.col("_k").desc(), F.col("_fo").desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    lvl2 = {}
-    for c in curves:
-        pt = F.when(F.col(c).isNotNull(), F.struct(d.alias("d"), F.col(c).alias("v")))
-        lvl2[f"_p_{c}"] = F.last(pt, ignorenulls=True).over(upto)
-        lvl2[f"_n_{c}"] = F.last(pt, ignorenulls=True).over(onward)
-        lvl2[f"_c_{c}"] = F.count(F.col(c)).over(full_frame(w))
-    u = u.withColumns(lvl2).filter(F.col("_k") == 1)
     out = [group, order]
     for c in curves:
-        p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        slope = (n["v"] - p["v"]) / (n["d"] - p["d"])
+        p, n, span = F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col(f"_span_{c}")
+        slope = F.try_divide(n["v"] - p["v"], n["d"] - p["d"])
         val = (
-            F.when(F.col(f"_c_{c}") < 2, F.lit(None).cast("double"))
-            .when(p.isNull(), F.lit(None).cast("double"))
+            F.when(span["lo"].isNull() | (span["lo"] == span["hi"]) | p.isNull(), F.lit(None).cast("double"))
             .when(p["d"] == d, p["v"])
             .when(n.isNull(), F.lit(None).cast("double"))
             .otherwise(slope * (d - p["d"]) + p["v"])

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from depthkit.functions.exprs import series_window
 from depthkit.operators import evaluate as EV
+from depthkit.operators.blocked import in_blocks
 from depthkit.operators.features import rolling_exprs
 from depthkit.plans.common import L, R, register, round_doubles, sql
 from depthkit.plans.q_features import _roll_sql
@@ -19,11 +19,7 @@ MODELS = [5, 10, 20]
 def predictions(spark, sf):
     """Long (model, well_api, DEPTH, y, p) with one row per model and log row."""
     df = L(spark, sf).select("well_api", "DEPTH", "GR")
-    w = series_window()
-    preds = {}
-    for m in MODELS:
-        preds[f"p{m}"] = rolling_exprs("GR", w, [m], quantiles=False)[f"GR_roll_mean_{m}"]
-    wide = df.withColumns(preds)
+    wide = in_blocks(df, lambda w: {f"p{m}": rolling_exprs("GR", w, [m], quantiles=False)[f"GR_roll_mean_{m}"] for m in MODELS}, max(MODELS))
     arr = F.array(*[F.struct(F.lit(f"roll{m}").alias("model"), F.col(f"p{m}").alias("p")) for m in MODELS])
     return wide.select("well_api", "DEPTH", F.col("GR").alias("y"), F.explode(arr).alias("_m")).select(
         "_m.model", "well_api", "DEPTH", "y", "_m.p")

@@ -73,11 +73,11 @@ def curve_distribution(spark, sf):
 
 @register("well_boxplot", sql(""",
 q AS (SELECT well_api, quantile_cont(GR, 0.25) AS q1, median(GR) AS med, quantile_cont(GR, 0.75) AS q3 FROM e GROUP BY well_api),
-j AS (SELECT e.well_api, GR, q1, q3, q3 - q1 AS iqr FROM e JOIN q USING (well_api) WHERE GR IS NOT NULL),
+j AS (SELECT e.well_api, GR, q1, q3, q3 - q1 AS iqr FROM e JOIN q ON e.well_api IS NOT DISTINCT FROM q.well_api WHERE GR IS NOT NULL),
 w AS (SELECT well_api, min(CASE WHEN GR >= q1 - 1.5 * iqr THEN GR END) AS wl, max(CASE WHEN GR <= q3 + 1.5 * iqr THEN GR END) AS wh,
              count(*) FILTER (WHERE GR < q1 - 1.5 * iqr OR GR > q3 + 1.5 * iqr) AS n_fliers FROM j GROUP BY well_api)
-SELECT well_api, """ + R("q1") + " AS q1, " + R("med") + " AS median, " + R("q3") + " AS q3, " + R("q3 - q1") + " AS iqr, "
-                              + R("wl") + " AS whisker_lo, " + R("wh") + " AS whisker_hi, n_fliers FROM q JOIN w USING (well_api)"))
+SELECT q.well_api, """ + R("q1") + " AS q1, " + R("med") + " AS median, " + R("q3") + " AS q3, " + R("q3 - q1") + " AS iqr, "
+                              + R("wl") + " AS whisker_lo, " + R("wh") + " AS whisker_hi, coalesce(n_fliers, 0) AS n_fliers FROM q LEFT JOIN w ON q.well_api IS NOT DISTINCT FROM w.well_api"))
 def well_boxplot(spark, sf):
     return round_doubles(EX.well_boxplot(_e(spark, sf), "GR"))
 
