@@ -80,18 +80,26 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 # Polynomial hashes of byte spans, from one running sum per buffer.
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PI = np.uint64(pow(int(_P), -1, 1 << 64))
+_LEN = np.uint64(0xC2B2AE3D27D4EB4F)
 _pow: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps; those of a longer buffer are made for it and dropped.
+_KEPT = (1 << 20) + 1
+#: Bytes of a span that one polynomial covers; a longer span's parts are mixed one by one.
+PART = 256
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _pow or len(_pow["p"]) < n:
-        m = max(n, 1 << 16)
+        m = n if n > _KEPT else min(_KEPT, max(2 * n, 1 << 16))
         with np.errstate(over="ignore"):
             p = np.full(m, _P, np.uint64)
             p[0] = 1
             q = np.full(m, _PI, np.uint64)
             q[0] = 1
-            _pow["p"], _pow["i"] = np.multiply.accumulate(p), np.multiply.accumulate(q)
+            p, q = np.multiply.accumulate(p), np.multiply.accumulate(q)
+        if m > _KEPT:
+            return p, q
+        _pow["p"], _pow["i"] = p, q
     return _pow["p"], _pow["i"]
 
 
@@ -119,8 +127,24 @@ def raw_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans.
+
+    Polynomials modulo 2^64 have known pairs of long strings with equal values (those built like the
+    Thue-Morse word, from 1,024 letters on), so a span of more than ``PART`` bytes is hashed in parts of that
+    length, and the sum is over the parts' mixed hashes."""
     lens = (ends - starts).astype(np.uint64)
-    return mix(raw_hash(prefix_sums(data), starts, ends) ^ (lens * np.uint64(0xC2B2AE3D27D4EB4F)))
+    sums = prefix_sums(data)
+    out = mix(raw_hash(sums, starts, ends) ^ (lens * _LEN))
+    long = np.flatnonzero(ends - starts > PART)
+    if len(long):
+        n = -(-(ends - starts)[long] // PART)
+        part = ragged(np.zeros(len(long), np.int64), n)
+        a = np.repeat(starts[long], n) + PART * part
+        b = np.minimum(a + PART, np.repeat(ends[long], n))
+        own = mix(raw_hash(sums, a, b) ^ ((b - a).astype(np.uint64) * _LEN))
+        own = mix(own ^ (part.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+        out[long] = mix(np.add.reduceat(own, np.cumsum(n) - n) ^ (lens[long] * _LEN))
+    return out
 
 
 _SPACE = np.zeros(256, bool)

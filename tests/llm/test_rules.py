@@ -31,6 +31,11 @@ def test_base_counts_equal_brute_force():
     rng = random.Random(2)
     parts = ["a ", "b ", "\n", "a b c\n", "é ", "\t", "\r\n", "#", "| ", " ", "x\x0by", "日 ", "\x85"]
     rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(2000)] + ["", None, "\n\n", "a"]
+    word = "a"  # this word and its mirror are equal for polynomial hashes modulo 2^64
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows += [f"{word}\n{other}\n{word}", f"x {word} y x {other} y", " ".join(word) + "\n" + " ".join(other)]
     got = []
     for _, _, c, failed, kept in quality._measured(pa.array(rows, pa.string()), quality.Bands()):
         got += list(zip(*(c[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.tolist()))

@@ -101,6 +101,16 @@ def test_minhash_edge_cases(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_texts_with_colliding_polynomials_are_not_copies(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, " ".join(word)), (4, " ".join(other)), (5, word)]
+    got = {r.doc_id: (r.class_id, r.n_copies) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (3, 1), 5: (1, 2)}  # 3 and 4 have nearly the same shingles
+
+
 def test_minhash_classes_of_distinct_texts_equal_brute_force(spark):
     rows, first = corpus(), {}
     for i, t in rows:

@@ -24,7 +24,16 @@ def texts(n=1500):
     rng = random.Random(3)
     out = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 25))) for _ in range(n)]
     out += ["".join(rng.choice("abcdeinrst'") for _ in range(rng.randint(1, 90))) for _ in range(n)]
-    return out + ["", None, "a" * 3000, "ab" * 500, " " * 50, "x " * 4000]
+    return out + ["", None, "a" * 3000, "ab" * 500, " " * 50, "x " * 4000, *colliding()]
+
+
+def colliding():
+    """Texts of two words that any polynomial modulo 2^64 with an odd base takes for equal."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    return [f"x {word} {other}", f"{other} {word}", word, other]
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -81,6 +90,7 @@ def test_round_trip_and_arrays(spark):
 def test_packing_covers_every_id_once(spark):
     path = public_tokenizers.path(FILES[0])
     rows = [(i, "word " * (i * 7 % 40) + "end") for i in range(60)] + [(100, None), (101, ""), (102, "long " * 900), (5, "again"), (None, "null id")]
+    rows += [(110 + i, t) for i, t in enumerate(colliding())]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, start int, ids string").repartition(5)
     out = packing.pack(df, path, length=64, with_ids=True).collect()
     library = Tokenizer.from_file(path)
@@ -132,6 +142,7 @@ def test_code_length_matches_huffman_where_the_limit_does_not_bind():
 def test_token_files(spark, block):
     path = public_tokenizers.path(FILES[1])
     rows = [(i, f"text {i} " * (i % 9)) for i in range(80, 0, -1)] + [(200, "very long " * 400), (201, None), (202, "")]
+    rows += [(300 + i, t) for i, t in enumerate(colliding())]
     folder = scratch_path(spark, "test-tokenfile")
     tokenfile.write(frame(spark, rows).repartition(4), path, folder, block=block)
     got = {r.doc_id: r for r in tokenfile.digests(tokenfile.read_tokens(spark, folder)).collect()}
