@@ -39,6 +39,52 @@ def well_inventory(df: DataFrame, curves: Sequence[str], group: str = S.GROUP, o
         "direction", F.when(F.col("median_step") > 0, "down").when(F.col("median_step") < 0, "up").otherwise("flat"))
 
 
+def presence_matrix(df: DataFrame, curves: Sequence[str], group: str = S.GROUP, order: str = S.ORDER, min_span_pct: float = 0.0) -> DataFrame:
+    """One row per group with a 0/1 column per curve: 1 if its valid depths span more than ``min_span_pct`` of the
+    group's depths (any value at 0)."""
+    aggs = [F.min(order).alias("_mn"), F.max(order).alias("_mx")]
+    for c in curves:
+        aggs += [F.count(c).alias(f"_n_{c}"), (F.max(F.when(F.col(c).isNotNull(), F.col(order))) - F.min(F.when(F.col(c).isNotNull(), F.col(order)))).alias(f"_w_{c}")]
+    wide = df.groupBy(group).agg(*aggs)
+    enough = lambda c: F.coalesce(F.try_divide(F.col(f"_w_{c}"), F.col("_mx") - F.col("_mn")) * 100 > min_span_pct, F.lit(False)) if min_span_pct > 0 else F.lit(True)
+    return wide.select(group, *[((F.col(f"_n_{c}") > 0) & enough(c)).cast("int").alias(c) for c in curves])
+
+
+def depth_sampling(df: DataFrame, group: str = S.GROUP, order: str = S.ORDER, digits: int = 3, tolerance: float = 0.01, tie: str | None = None,
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """D3: (group, n_rows, depth_min, depth_max, step_mode, step_median, n_irregular, direction).
+
+    Steps between neighbours in depth order, rounded to ``digits``; the mode's ties go to the smaller step; a step is
+    irregular if it differs from the mode by more than ``tolerance`` of it."""
+    d = F.col(order)
+    steps = in_blocks(df.select(group, order, *([tie] if tie else [])), lambda w: {"_s": F.round(d - F.lag(d).over(w), digits)}, 1, group, order, tie, block_rows)
+    runs = steps.groupBy(group, "_s").agg(F.count(F.lit(1)).alias("_k"), F.min(order).alias("_mn"), F.max(order).alias("_mx"))
+    mode = F.min(F.when(F.col("_s").isNotNull(), F.struct((-F.col("_k")).alias("k"), F.col("_s").alias("s"))))["s"]
+    wells = runs.groupBy(group).agg(F.sum("_k").alias("n_rows"), F.min("_mn").alias("depth_min"), F.max("_mx").alias("depth_max"), mode.alias("step_mode"))
+    odd = F.sum(F.when(F.abs(F.col("_s") - F.col("step_mode")) > F.abs(F.col("step_mode")) * tolerance, F.col("_k")).otherwise(0))
+    irregular = join_null_safe(runs, wells.select(group, "step_mode"), [group]).groupBy(group).agg(odd.alias("n_irregular"))
+    median = group_quantiles(steps, [group], "_s", [0.5], ["step_median"])
+    out = join_null_safe(join_null_safe(wells, irregular, [group]), median, [group], "left")
+    way = F.when(F.col("step_median") > 0, "increasing").when(F.col("step_median") < 0, "decreasing").otherwise("flat")
+    return out.select(group, "n_rows", "depth_min", "depth_max", "step_mode", "step_median", "n_irregular", way.alias("direction"))
+
+
+def well_metadata(df: DataFrame, curves: Sequence[str], headers: DataFrame | None = None, raw_curves: DataFrame | None = None,
+                  group: str = S.GROUP, order: str = S.ORDER) -> DataFrame:
+    """One row per well: rows, depth range, curve list, NULL flag and cells, and what the header says.
+
+    ``headers`` has a row per well (its columns are added); ``raw_curves`` (group, curve) lists the
+    mnemonics as they were in the file, which become ``curves_original``."""
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in curves), F.lit(0).cast("long"))
+    out = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.min(order).alias("depth_min"), F.max(order).alias("depth_max"),
+                                F.array_compact(F.array(*[F.when(F.count(c) > 0, F.lit(c)) for c in sorted(curves)])).alias("_c"), nulls.alias("null_cells"))
+    out = out.select(group, "n_rows", "depth_min", "depth_max", F.array_join("_c", ",").alias("curves"), F.size("_c").alias("n_curves"), "null_cells", (F.col("null_cells") > 0).alias("has_nulls"))
+    if raw_curves is not None:
+        names = raw_curves.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set("curve")), ",").alias("curves_original"))
+        out = join_null_safe(out, names, [group], "left")
+    return join_null_safe(out, headers, [group], "left") if headers is not None else out
+
+
 def curve_combinations(df: DataFrame, curves: Sequence[str], group: str = S.GROUP) -> DataFrame:
     """Presence matrix per group, then how many groups share each curve combination."""
     pres = df.groupBy(group).agg(*[(F.count(c) > 0).cast("int").alias(c) for c in curves])
@@ -117,18 +163,9 @@ def co_missing(df: DataFrame, curves: Sequence[str]) -> DataFrame:
 
 
 def pair_corr(df: DataFrame, curves: Sequence[str]) -> DataFrame:
-    """Pearson correlation, slope and intercept of each curve pair.
-
-    Rows are unpivoted to (pair, a, b) and aggregated per pair: four stable aggregates per
-    group keep whole-stage codegen (one 40-function aggregate exceeds its field limit), and
-    partial aggregation runs map-side, so the 10 pair groups never gather raw rows."""
-    pairs = list(combinations(curves, 2))
-    arr = F.array(*[F.struct(F.lit(a).alias("curve_a"), F.lit(b).alias("curve_b"), F.col(a).cast("double").alias("x"),
-                             F.col(b).cast("double").alias("y")) for a, b in pairs])
-    long = df.select(F.explode(arr).alias("_p")).select("_p.*")
-    return long.groupBy("curve_a", "curve_b").agg(
-        F.regr_count("y", "x").alias("n"), F.corr("x", "y").alias("corr"), F.regr_slope("y", "x").alias("slope"),
-        F.regr_intercept("y", "x").alias("intercept"))
+    """Pearson correlation, slope and intercept of each curve pair, from one matrix of co-moments."""
+    from depthkit.operators.comoment import pair_statistics
+    return pair_statistics(df, curves)
 
 
 def smoothing(df: DataFrame, x: str, window: int = 5, group: str = S.GROUP, order: str = S.ORDER, tie: str | None = None) -> DataFrame:

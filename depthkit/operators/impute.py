@@ -155,13 +155,14 @@ def impute_median(df: DataFrame, curves: Sequence[str], group: str | None = S.GR
 
 
 def impute_by_family(df: DataFrame, features: Sequence[str], group: str = S.GROUP, order: str = S.ORDER,
-                     family=None, materialize: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     family=None, materialize: bool = True, block_rows: int = BLOCK_ROWS, fit_on: Column | None = None) -> DataFrame:
     """Fill feature NULLs by family, within each group in depth order.
 
     rolling -> forward fill, backward fill, then the global median;
     gradient -> interpolation over the row index (ends nearest), then 0;
     ratio -> interpolation, then the global median; base -> the global median.
-    Global medians are exact and computed in one distributed pass over a long view.
+    Global medians are exact and computed in one distributed pass over a long view, over the rows where
+    ``fit_on`` holds (the training rows) if it is given.
     """
     from depthkit.operators.evaluate import feature_family
 
@@ -177,7 +178,7 @@ def impute_by_family(df: DataFrame, features: Sequence[str], group: str = S.GROU
     ordered = [c for c in todo if family(c) in ("rolling", "gradient", "ratio")]
     t = neighbours(df, ordered, group, order, block_rows=block_rows) if ordered else df
     if need_med:
-        t = t.crossJoin(F.broadcast(curve_medians(df, need_med, None)))
+        t = t.crossJoin(F.broadcast(curve_medians(df if fit_on is None else df.filter(fit_on), need_med, None)))
     out = {}
     for c in todo:
         fam = family(c)

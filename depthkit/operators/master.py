@@ -59,20 +59,26 @@ def new_columns(before: DataFrame, after: DataFrame) -> list[str]:
     return [c for c in after.columns if c not in old]
 
 
+# Name parts of the families in the feature summary.  Families overlap.
 FEATURE_FAMILIES = {
     "rolling": ["_roll_"],
-    "gradient": ["gradient", "_diff_", "_pct_change", "curvature"],
-    "depth": ["depth_", "sequence_position", "in_depth_window"],
-    "geological": ["is_", "gr_", "source_rock"],
-    "cross_curve": ["_ratio", "_composite", "_separation", "_indicator"],
+    "gradient": ["gradient", "diff_", "curvature"],
+    "depth": ["depth_"],
+    "geological": ["is_", "gr_"],
+    "cross_curve": ["_ratio", "_diff", "_product"],
 }
 
 
-def feature_summary(spark: SparkSession, columns: Sequence[str]) -> DataFrame:
-    """Feature counts per family (substring tests, families may overlap)."""
+def feature_summary(spark: SparkSession, columns: Sequence[str], df: DataFrame | None = None) -> DataFrame:
+    """(family, features) counts of the columns per family, and with ``df`` the values they hold (``valid``)."""
     rows = [(c, fam) for c in columns for fam, keys in FEATURE_FAMILIES.items() if any(k in c for k in keys)]
-    df = spark.createDataFrame(rows, "feature string, family string")
-    return df.groupBy("family").agg(F.count(F.lit(1)).alias("features"))
+    named = spark.createDataFrame(rows, "feature string, family string")
+    if df is None:
+        return named.groupBy("family").agg(F.count(F.lit(1)).alias("features"))
+    used = sorted({c for c, _ in rows})
+    wide = df.agg(*[F.count(c).alias(c) for c in used])
+    values = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in used])).alias("_s")).select("_s.*")
+    return named.join(values, "feature").groupBy("family").agg(F.count(F.lit(1)).alias("features"), F.sum("v").alias("valid"))
 
 
 def load_checks(df: DataFrame, required: Sequence[str] = ("DEPTH", "well_api", "GR"), group: str = S.GROUP) -> DataFrame:

@@ -130,15 +130,22 @@ def _grid(lo: float, hi: float, step: float) -> list[float]:
 
 def fit_boxcox(df: DataFrame, x: str, lo: float = -2.0, hi: float = 2.0,
                steps: Sequence[float] = (0.1, 0.01, 0.001, 0.0001)) -> tuple[float, float]:
-    """Maximum-likelihood lambda by coarse-to-fine grid search (one aggregate per level)."""
+    """Maximum-likelihood lambda by coarse-to-fine grid search (one aggregate per level).
+
+    [lo, hi] is where the search begins; a best value at one of its ends moves it outwards."""
     best, best_ll = None, None
     a, b = lo, hi
-    for i, st in enumerate(steps):
-        grid = [round(g, 10) for g in _grid(a, b, st)]
-        prof = boxcox_profile(df, x, grid)
-        r = prof.orderBy(F.col("loglik").desc_nulls_last(), "lambda").first()
-        best, best_ll = r["lambda"], r["loglik"]
-        a, b = max(lo, best - st), min(hi, best + st)
+    for st in steps:
+        while True:
+            grid = [round(g, 10) for g in _grid(a, b, st)]
+            r = boxcox_profile(df, x, grid).orderBy(F.col("loglik").desc_nulls_last(), "lambda").first()
+            if r is None or r["loglik"] is None:
+                return best, best_ll
+            best, best_ll = r["lambda"], r["loglik"]
+            if best not in (grid[0], grid[-1]) or abs(best) > 16:
+                break
+            a, b = (best - (b - a), best + st) if best == grid[0] else (best - st, best + (b - a))
+        a, b = best - st, best + st
     return best, best_ll
 
 
@@ -159,6 +166,23 @@ def boxcox_transform(df: DataFrame, x: str, lam: float | None = None, standardiz
     return res, lam
 
 
+#: What the small-run mode sets: no transformation, and a wider outlier limit.
+TEST_MODE = {"boxcox": False, "outlier_z": 5.0}
+
+
+def prepare_target(df: DataFrame, target: str = S.TARGET, features: Sequence[str] = (), boxcox: bool = True, outlier_z: float = S.ZSCORE_THRESHOLD,
+                   test_mode: bool = False, lam: float | None = None) -> tuple[DataFrame, float | None]:
+    """A15, P18, A14 in their order: ``<target>_transformed``, rows without its outliers, features standardised; and the lambda.
+
+    ``test_mode`` (M13) uses the values of ``TEST_MODE`` instead of ``boxcox`` and ``outlier_z``."""
+    if test_mode:
+        boxcox, outlier_z = TEST_MODE["boxcox"], TEST_MODE["outlier_z"]
+    out = f"{target}_transformed"
+    t, lam = boxcox_transform(df, target, lam) if boxcox else (df.withColumn(out, F.col(target)), None)
+    t = zscore_filter(t, out, outlier_z)
+    return (scale_standard(t, features) if features else t), lam
+
+
 def inverse_boxcox(y: Column, lam: float, mean: float, std: float) -> Column:
     """Undo standardization and Box-Cox (used to report metrics on the original scale)."""
     z = y * std + mean

@@ -71,3 +71,8 @@ def _sequences_blocked(df, features, target, length, step, group, order, carry,
     return kept.select(group, F.col(order).alias("depth"), *carry,
                        (F.col("_off") + F.row_number().over(wk) - 1).cast("int").alias("sequence_idx"),
                        "sequence", "features_used", F.col("_y").alias("target"))
+
+
+def sequence_metadata(seqs: DataFrame, group: str = S.GROUP, carry: Sequence[str] = ()) -> DataFrame:
+    """K8: one row per sequence without its values: group, depth, carried columns, index, steps and number of features."""
+    return seqs.select(group, "depth", *carry, "sequence_idx", F.size("sequence").alias("length"), F.size("features_used").alias("n_features"))

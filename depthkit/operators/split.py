@@ -92,3 +92,36 @@ def stable_sample(df: DataFrame, key: Sequence[str], n: int = 1000, seed: int =
     """A seeded sample of at most ``n`` rows: distributed top-n by md5 of the row key."""
     k = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
     return df.withColumn("_h", md5_order(k, seed)).orderBy("_h", *key).limit(n).drop("_h")
+
+
+def apportioned_sizes(n: Column, ratios: Sequence[float], min_wells: int) -> list[Column]:
+    """Train, validation and test sizes of ``n`` groups: ``min(min_wells, n div 3)`` each, the rest by largest remainder.
+
+    Shares are what the ratios ask beyond those minimum sizes; equal remainders go to train, then
+    test, then validation."""
+    least = F.least(F.lit(min_wells), F.floor(n / 3)).cast("long")
+    rest = n - 3 * least
+    want = [F.greatest(n * F.lit(float(r)) - least, F.lit(0.0)) for r in ratios]
+    total = want[0] + want[1] + want[2]
+    quota = [F.coalesce(F.try_divide(rest * w, total), F.lit(0.0)) + F.lit(1e-9) for w in want]
+    whole = [F.floor(q).cast("long") for q in quota]
+    over = rest - whole[0] - whole[1] - whole[2]
+    part = [F.floor((q - w) * 1e6) for q, w in zip(quota, whole)]
+    turn = [0, 2, 1]  # of train, validation, test among equal remainders
+    sizes = []
+    for i in range(3):
+        ahead = sum(((part[j] > part[i]) | ((part[j] == part[i]) & F.lit(turn[j] < turn[i]))).cast("int") for j in range(3) if j != i)
+        sizes.append(least + whole[i] + (ahead < over).cast("int"))
+    return sizes
+
+
+def split_apportioned(df: DataFrame, ratios: Sequence[float] = (0.6, 0.2, 0.2), min_wells: int = 3, group: str = S.GROUP,
+                      operator: str = "operator", seed: int = 42) -> DataFrame:
+    """M1, stratified: (group, split) with the ratios held inside every operator.
+
+    Each operator's groups are cut, in their seeded order, at the sizes of ``apportioned_sizes``; one
+    group goes to train, two to train and test.  Groups without an operator are a stratum."""
+    o = well_order(df.filter(F.col(group).isNotNull()), group, seed, partition=operator)
+    train, val, _ = apportioned_sizes(F.col("n"), ratios, min_wells)
+    r = F.col("rank")
+    return o.select(group, F.col(operator), F.when(r < train, "train").when(r < train + val, "validation").otherwise("test").alias("split"))

@@ -183,11 +183,13 @@ def gap_policy(spark, sf):
     return round_doubles(EX.gap_policy(_e(spark, sf), "GR"))
 
 
-@register("mahalanobis", sql(""",
-s AS (SELECT avg(RHOB) AS ma, avg(PE) AS mb, var_pop(RHOB) AS vaa, var_pop(PE) AS vbb, covar_pop(RHOB, PE) AS vab
-      FROM l WHERE RHOB IS NOT NULL AND PE IS NOT NULL)
-SELECT well_api, """ + R("DEPTH") + " AS DEPTH, " + R("""sqrt(((RHOB - ma) * (RHOB - ma) * vbb - 2 * (RHOB - ma) * (PE - mb) * vab
-       + (PE - mb) * (PE - mb) * vaa) / nullif(vaa * vbb - vab * vab, 0))""") + " AS mahalanobis FROM l CROSS JOIN s"))
+@register("mahalanobis", sql("""
+, k AS MATERIALIZED (SELECT well_api, DEPTH, RHOB, PE FROM l),
+s AS MATERIALIZED (SELECT avg(RHOB) AS ma, avg(PE) AS mb, var_pop(RHOB) AS vaa, var_pop(PE) AS vbb, covar_pop(RHOB, PE) AS vab
+      FROM k WHERE RHOB IS NOT NULL AND PE IS NOT NULL),
+x AS MATERIALIZED (SELECT well_api, DEPTH, sqrt(((RHOB - ma) * (RHOB - ma) * vbb - 2 * (RHOB - ma) * (PE - mb) * vab
+       + (PE - mb) * (PE - mb) * vaa) / nullif(vaa * vbb - vab * vab, 0)) AS m FROM k CROSS JOIN s)
+SELECT well_api, """ + R("DEPTH") + " AS DEPTH, " + R("m") + " AS mahalanobis FROM x"))
 def mahalanobis(spark, sf):
     df = _l(spark, sf).select("well_api", "DEPTH", "RHOB", "PE")
     return round_doubles(EX.mahalanobis2(df, "RHOB", "PE").drop("RHOB", "PE"))

@@ -95,8 +95,9 @@ def _scaled_sql(kind: str) -> str:
             f"quantile_cont({c}, 0.5) AS a_{c}, CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) = 0 THEN 1 "
             f"ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END AS s_{c}" for c in L_CURVES)
         ex = {c: f"({c} - a_{c}) / s_{c}" for c in L_CURVES}
-    return sql(f", st AS (SELECT {st} FROM l) SELECT well_api, {R('DEPTH')} AS DEPTH, "
-               + ", ".join(f"{R(v)} AS {k}" for k, v in ex.items()) + " FROM l CROSS JOIN st")
+    return sql(f", m AS MATERIALIZED (SELECT * FROM l), st AS MATERIALIZED (SELECT {st} FROM m), x AS MATERIALIZED (SELECT well_api, DEPTH, "
+               + ", ".join(f"{v} AS {k}" for k, v in ex.items()) + f" FROM m CROSS JOIN st) SELECT well_api, {R('DEPTH')} AS DEPTH, "
+               + ", ".join(f"{R(k)} AS {k}" for k in ex) + " FROM x")
 
 
 def _scale_q(kind: str, fn):
@@ -225,3 +226,25 @@ def target_bands(spark, sf):
     from depthkit.operators.evaluate import band_expr
     df = L(spark, sf).filter(F.col("GR").isNotNull())
     return round_doubles(df.groupBy(band_expr("GR").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg("GR").alias("mean_gr")))
+
+
+@register("prepare_target", sql(BOXCOX_CTE + """,
+t AS (SELECT well_api, DEPTH, CASE WHEN lam = 0 THEN ln(GR) ELSE (pow(GR, lam) - 1) / lam END AS y FROM e CROSS JOIN best),
+s AS (SELECT avg(y) AS m, stddev_pop(y) AS sd FROM t), z AS (SELECT well_api, DEPTH, (y - m) / sd AS y FROM t CROSS JOIN s),
+k AS (SELECT * FROM z CROSS JOIN (SELECT avg(y) AS ym, stddev_pop(y) AS ys FROM z) WHERE y IS NULL OR abs(y - ym) / ys <= 3.0),
+d AS (SELECT avg(DEPTH) AS dm, stddev_pop(DEPTH) AS ds FROM k)
+SELECT well_api, """ + R("(DEPTH - dm) / ds") + " AS depth_scaled, " + R("y") + " AS GR_transformed FROM k CROSS JOIN d"))
+def prepare_target(spark, sf):
+    """Box-Cox, outliers on the transformed scale, scaling: the order of the model stage."""
+    df = E(spark, sf).select("well_api", F.col("DEPTH").alias("depth_scaled"), "GR")
+    lam, _ = _best_lambda(df.select("GR"))
+    out, _ = SC.prepare_target(df, "GR", ["depth_scaled"], lam=lam)
+    return round_doubles(out.select("well_api", "depth_scaled", "GR_transformed"))
+
+
+@register("prepare_target_test_mode", sql(
+    ", st AS (SELECT avg(GR) AS m, stddev_pop(GR) AS s FROM e) SELECT well_api, " + R("DEPTH") + " AS DEPTH, "
+    + R("GR") + " AS GR_transformed FROM e CROSS JOIN st WHERE GR IS NULL OR abs(GR - m) / s <= 5.0"))
+def prepare_target_test_mode(spark, sf):
+    out, _ = SC.prepare_target(E(spark, sf).select("well_api", "DEPTH", "GR"), "GR", test_mode=True)
+    return round_doubles(out.select("well_api", "DEPTH", "GR_transformed"))
