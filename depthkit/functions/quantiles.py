@@ -28,7 +28,7 @@ FINE = 1 << 16
 _TOP = 1 << 40
 
 
-def _range_of(v: Column, pieces: int) -> Column:
+def value_range(v: Column, pieces: int) -> Column:
     """Number of the value range of ``v``: never falls as ``v`` rises; null for null."""
     size = F.abs(v)
     octave = F.floor(F.log2(size) * pieces) + 1100 * pieces  # of the smallest double: above 0
@@ -40,7 +40,7 @@ def _within(ranks: str, start: Column, rows: Column) -> Column:
     return F.filter(ranks, lambda r: (r >= start) & (r < start + rows))
 
 
-def _before(part: str | Sequence[str], order: str, rows: Column) -> Column:
+def sums_before(part: str | Sequence[str], order: str, rows: Column) -> Column:
     """Sum of ``rows`` over the earlier rows."""
     keys = [part] if isinstance(part, str) else list(part)
     return F.coalesce(F.sum(rows).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
@@ -65,11 +65,11 @@ def group_quantiles(
     v = F.col(value) if isinstance(value, str) else value
     key = F.struct(*[F.col(k).alias(k) for k in keys]) if keys else F.lit(0)  # a struct compares null keys as equal
     runs = df.select(key.alias("_key"), v.cast("double").alias("_v")).groupBy("_key", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    runs = runs.withColumn("_b", _range_of(F.col("_v"), accuracy or PIECES))
+    runs = runs.withColumn("_b", value_range(F.col("_v"), accuracy or PIECES))
 
     valid = F.when(F.col("_b").isNotNull(), F.col("_t"))
     wide = runs.groupBy("_key", "_b").agg(F.sum("_c").alias("_t"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    wide = wide.withColumns({"_n": F.coalesce(F.sum(valid).over(Window.partitionBy("_key")), F.lit(0).cast("long")), "_off": _before("_key", "_b", valid)})
+    wide = wide.withColumns({"_n": F.coalesce(F.sum(valid).over(Window.partitionBy("_key")), F.lit(0).cast("long")), "_off": sums_before("_key", "_b", valid)})
     places = [(F.col("_n") - 1) * F.lit(q) for q in qs]
     ranks = F.array_distinct(F.array(*[f(h).cast("long") for h in places for f in (F.floor, F.ceil)]))
     wide = wide.withColumn("_ranks", ranks).withColumn("_ranks", F.when(F.col("_b").isNotNull(), _within("_ranks", F.col("_off"), F.col("_t"))))
@@ -81,10 +81,10 @@ def group_quantiles(
         "_kb", "_v", "_c", "_off", "_ranks", F.coalesce(F.when(F.col("_hi") > F.col("_lo"), F.floor(F.nanvl(share, F.lit(0.0)) * FINE)), F.lit(0)).alias("_f"))
 
     fine = left.groupBy("_kb", "_f").agg(F.sum("_c").alias("_t"), F.first("_off").alias("_off"), F.first("_ranks").alias("_ranks"))
-    fine = fine.withColumn("_off", F.col("_off") + _before("_kb", "_f", F.col("_t")))
+    fine = fine.withColumn("_off", F.col("_off") + sums_before("_kb", "_f", F.col("_t")))
     fine = fine.withColumn("_ranks", _within("_ranks", F.col("_off"), F.col("_t"))).filter(F.size("_ranks") > 0)
     last = left.drop("_off", "_ranks").join(fine.drop("_t"), ["_kb", "_f"])
-    last = last.withColumn("_off", F.col("_off") + _before(["_kb", "_f"], "_v", F.col("_c")))
+    last = last.withColumn("_off", F.col("_off") + sums_before(["_kb", "_f"], "_v", F.col("_c")))
     found = last.select(F.col("_kb._key").alias("_key"), "_v", F.explode(_within("_ranks", F.col("_off"), F.col("_c"))).alias("_rank"))
     at = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two ranks a quantile
 

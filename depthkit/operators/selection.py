@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthkit.functions.quantiles import PIECES, _before, _range_of, group_quantiles
+from depthkit.functions.quantiles import PIECES, sums_before, value_range, group_quantiles
+from depthkit.session import cut_lineage
 
 
 def _stacked(df: DataFrame, columns: Sequence[str], *keep: Column) -> DataFrame:
@@ -58,7 +59,7 @@ def drift(df: DataFrame, curves: Sequence[str], part: str, reference: str, bins:
     values; rows without a part are left out."""
     curves = list(curves)
     cells = _stacked(df.filter(F.col(part).isNotNull()), curves, F.col(part).cast("string").alias("part")).withColumnRenamed("feature", "curve").filter("x is not null")
-    runs = cells.groupBy("curve", "part", "x").agg(F.count(F.lit(1)).alias("c"))
+    runs = cut_lineage(cells.groupBy("curve", "part", "x").agg(F.count(F.lit(1)).alias("c")), "drift-runs")  # read by every step below
     totals = runs.groupBy("curve", "part").agg(F.sum("c").alias("n"))
     ref = totals.filter(F.col("part") == reference).select("curve", F.col("n").alias("n_reference"))
     wanted = df.select(F.col(part).cast("string").alias("part")).distinct().filter(F.col("part").isNotNull() & (F.col("part") != reference)).select(
@@ -66,13 +67,15 @@ def drift(df: DataFrame, curves: Sequence[str], part: str, reference: str, bins:
     pairs = wanted.join(totals, ["curve", "part"], "left").join(ref, "curve", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "n_reference")})
 
     # the reference's runs meet those of each part, value by value, in value ranges with running offsets
+    pairs = cut_lineage(pairs, "drift-pairs")  # a row per curve and part
     live = pairs.filter("n > 0 and n_reference > 0")
     own = runs.join(live, ["curve", "part"]).select("curve", "part", "x", F.col("c").alias("a"), F.lit(0).cast("long").alias("b"))
     base = runs.filter(F.col("part") == reference).drop("part").join(live.select("curve", "part"), "curve").select(
         "curve", "part", "x", F.lit(0).cast("long").alias("a"), F.col("c").alias("b"))
-    both = own.unionByName(base).groupBy("curve", "part", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("_b", _range_of(F.col("x"), PIECES))
+    both = own.unionByName(base).groupBy("curve", "part", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("_b", value_range(F.col("x"), PIECES))
+    both = cut_lineage(both, "drift-runs")
     ranges = both.groupBy("curve", "part", "_b").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    ranges = ranges.withColumns({"oa": _before(["curve", "part"], "_b", F.col("ta")), "ob": _before(["curve", "part"], "_b", F.col("tb"))})
+    ranges = ranges.withColumns({"oa": sums_before(["curve", "part"], "_b", F.col("ta")), "ob": sums_before(["curve", "part"], "_b", F.col("tb"))})
     w = Window.partitionBy("curve", "part", "_b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     at = both.join(ranges.drop("ta", "tb"), ["curve", "part", "_b"]).withColumns({"fa": F.col("oa") + F.sum("a").over(w), "fb": F.col("ob") + F.sum("b").over(w)})
     ks = at.join(live, ["curve", "part"]).groupBy("curve", "part").agg(F.max(F.abs(F.col("fa") / F.col("n") - F.col("fb") / F.col("n_reference"))).alias("ks"))

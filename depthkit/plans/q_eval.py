@@ -108,8 +108,7 @@ def _top_features_sql() -> str:
 @register("top_features", _top_features_sql())
 def top_features(spark, sf):
     df = L(spark, sf)
-    w = series_window()
-    df = df.withColumns({f"GR_roll_mean_{m}": rolling_exprs("GR", w, [m], quantiles=False)[f"GR_roll_mean_{m}"] for m in MODELS})
+    df = in_blocks(df, lambda w: {f"GR_roll_mean_{m}": rolling_exprs("GR", w, [m], quantiles=False)[f"GR_roll_mean_{m}"] for m in MODELS}, max(MODELS))
     feats = TOPF + [f"GR_roll_mean_{m}" for m in MODELS]
     wide = df.agg(*[F.abs(F.corr(c, "GR")).alias(c) for c in feats])
     stack = ", ".join(f"'{c}', `{c}`" for c in feats)
@@ -125,13 +124,12 @@ ATTR_FEATS = {
 
 def _attr_frame(spark, sf):
     df = L(spark, sf)
-    w = series_window()
-    ro = rolling_exprs("GR", w, [5, 20], quantiles=False)
-    return df.withColumns({
-        "GR_roll_mean_5": ro["GR_roll_mean_5"], "GR_roll_mean_20": ro["GR_roll_mean_20"],
-        "GR_diff_1": F.col("GR") - F.lag("GR", 1).over(w),
-        "RT_PE_ratio": F.try_divide(F.col("RT"), F.col("PE") + 1e-8),
-    })
+
+    def exprs(w):
+        ro = rolling_exprs("GR", w, [5, 20], quantiles=False)
+        return {"GR_roll_mean_5": ro["GR_roll_mean_5"], "GR_roll_mean_20": ro["GR_roll_mean_20"], "GR_diff_1": F.col("GR") - F.lag("GR", 1).over(w)}
+
+    return in_blocks(df, exprs, 20).withColumn("RT_PE_ratio", F.try_divide(F.col("RT"), F.col("PE") + 1e-8))
 
 
 def _attr_sql() -> str:

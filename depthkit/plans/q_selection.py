@@ -13,6 +13,7 @@ from depthkit.operators import split as SP
 from depthkit.operators.features import engineer_features
 from depthkit.plans.common import E, L, L_CURVES, ORACLES, R, register, round_doubles, sql
 from depthkit.plans.q_mlprep import MD5, SPLIT_CTE
+from depthkit.session import cut_lineage
 
 # ------------------------------------------------------------------ variance and correlation filter
 
@@ -26,14 +27,14 @@ MAX_CORR, MIN_VARIANCE = 0.98, 0.001
 
 def event_features(spark, sf):
     from depthkit.operators.clean import clip_ranges
-    return engineer_features(clip_ranges(E(spark, sf).select("well_api", "DEPTH", "GR")), "GR")
+    return cut_lineage(engineer_features(clip_ranges(E(spark, sf).select("well_api", "DEPTH", "GR")), "GR"), "features")
 
 
 def _filter_sql() -> str:
     """The features by the flagship's SQL; all pairs; then the greedy choice by recursion."""
     f = FILTER_FEATURES
     source = ORACLES["well_features"]
-    pairs = " UNION ALL ".join(f"SELECT {j} AS j, list_filter([" + ", ".join(f"CASE WHEN abs(corr({f[i]}, {f[j]})) > {MAX_CORR} THEN {i} END" for i in range(j))
+    pairs = " UNION ALL ".join(f"SELECT {j} AS j, list_filter([" + ", ".join(f"CASE WHEN isfinite(corr({f[i]}, {f[j]})) AND abs(corr({f[i]}, {f[j]})) > {MAX_CORR} THEN {i} END" for i in range(j))
                                + f"], lambda x: x IS NOT NULL)::INT[] AS near, var_pop({f[j]}) AS variance, '{f[j]}' AS feature FROM ff" for j in range(len(f)))
     return f"""WITH RECURSIVE ff AS MATERIALIZED ({source}),
 p AS MATERIALIZED ({pairs}),
@@ -92,8 +93,8 @@ def _drift_sql(bins: int = 10) -> str:
        SELECT {bin_} AS bin, count(*) FILTER (WHERE split = o.part) AS a, count(*) FILTER (WHERE split = 'train') AS b
        FROM (SELECT {c} AS x, split FROM j WHERE {c} IS NOT NULL AND split IN (o.part, 'train')), (SELECT quantile_cont({c}, {qs}) AS e FROM j WHERE split = 'train') GROUP BY 1) USING (bin))) AS psi
 FROM (SELECT split AS part, count({c}) AS n FROM j WHERE split <> 'train' GROUP BY 1) o, (SELECT count({c}) AS n FROM j WHERE split = 'train') r""")
-    return sql(SPLIT_CTE + ", j AS MATERIALIZED (SELECT l.*, split FROM l JOIN sp USING (well_api)), d AS (" + " UNION ALL ".join(parts)
-               + f") SELECT curve, part, n, n_reference, {R('ks')} AS ks, {R('psi')} AS psi FROM d")
+    return sql(SPLIT_CTE + ", j AS MATERIALIZED (SELECT l.*, split FROM l JOIN sp USING (well_api)), dr AS (" + " UNION ALL ".join(parts)
+               + f") SELECT curve, part, n, n_reference, {R('ks')} AS ks, {R('psi')} AS psi FROM dr")
 
 
 @register("split_drift", _drift_sql())

@@ -7,6 +7,8 @@ the cluster names.  Only when that setting is missing (local tests) do we pick a
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -53,10 +55,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Scratch folders of this process.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written intermediate tables."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of the shared checkpoint folder for written intermediate tables.
+
+    It is there until ``delete_scratch``, at the latest until the driver's Python ends: results are
+    lazy, so a table may be read long after the call that wrote it."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def delete_scratch(spark: SparkSession | None = None) -> None:
+    """Delete the scratch folders that this process has made; frames that read them end with it."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        delete_scratch()
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -71,4 +97,4 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "cut_lineage"]
+__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "delete_scratch", "cut_lineage"]

@@ -161,3 +161,10 @@ def test_queries_do_not_need_the_optional_packages():
             "import __spark_entry__ as e; from depthkit.plans import catalog;"
             "assert set(e.queries()) == set(catalog.queries()) and len(e.queries()) > 80 and set(e.oracle_sql()) == set(catalog.oracle_sql())")
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_scratch_tables_go_when_the_driver_ends(tmp_path):
+    code = (f"from depthkit.session import *; s = get_spark(master='local[1]'); s.conf.set('spark.checkpoint.dir', '{tmp_path}');"
+            f"d = cut_lineage(s.range(5), 'kept'); import os; assert d.count() == 5 and len(os.listdir('{tmp_path}')) == 1")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert not list(tmp_path.iterdir())
