@@ -65,7 +65,8 @@ def audit(primary: DataFrame, replica: DataFrame, offset: str, fields: list[str]
     replicas, two empty ones included, give no row.  Null offsets, null fields and repeated
     records are compared like all others."""
     left, right = records(primary, offset, fields), records(replica, offset, fields)
-    reach = [r.agg(F.greatest(F.max(F.abs("at")), F.lit(1)).alias("m")).first()["m"] or 1 for r in (left, right)]
+    # -(smallest + 1) has a place among longs, the smallest long included
+    reach = [r.agg(F.greatest(F.max("at"), -(F.min("at") + 1), F.lit(1)).alias("m")).first()["m"] or 1 for r in (left, right)]
     levels = 1
     while FAN ** levels <= max(reach):
         levels += 1

@@ -161,8 +161,8 @@ def added_spans(rows: DataFrame, base: DataFrame, accept: float = ACCEPT) -> Dat
     total = soft.agg(F.sum("p").alias("all_yes"), F.sum(1 - F.col("p")).alias("all_no"))
     rate = F.log((F.col("yes") + 0.5) / (F.col("all_yes") + 1)) - F.log((F.col("no") + 0.5) / (F.col("all_no") + 1))
     table = seen.crossJoin(F.broadcast(total)).select("f", rate.alias("weight"), (F.log(F.col("all_yes") + 1) - F.log(F.col("all_no") + 1)).alias("prior"))
-    key = ["row", "kind", "start", "end", "votes"]
-    scored = proposals.select(*key, F.explode("f").alias("f")).join(table, "f").groupBy(*key).agg(
+    key = ["row", "kind", "start", "end", "votes"]  # the table has a row per hashed feature at most, whatever the input
+    scored = proposals.select(*key, F.explode("f").alias("f")).join(F.broadcast(table), "f").groupBy(*key).agg(
         (F.sum("weight") / F.lit(math.sqrt(FEATURES)) + F.first("prior")).alias("score"))
     pattern_says = F.substring("votes", 1, 3).contains("1")
     chosen = scored.where(pattern_says & (F.col("score") >= math.log(accept / (1 - accept))) & F.col("kind").isin(KINDS))
@@ -184,19 +184,20 @@ def spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Da
 
 
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added) of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), n_added (added ones), base_sha256, spans (all) of every row.
 
     Null and empty texts have no spans (base_sha256 is that of the empty string).  Rows are kept
     apart by a row number, so repeated rows and null ids get a result each."""
     rows, found = spans(df, doc_id, text)
     label = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     per = found.groupBy("row").agg(
-        *(F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in KINDS[:4]),
+        *(F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in KINDS[:4]), F.count(F.when(~F.col("base"), 1)).alias("n_added"),
         F.sort_array(F.collect_list(F.struct(_order(F.col("kind")).alias("o"), "start", "end", "base", label.alias("l")))).alias("all"))
     join = lambda c: F.concat_ws(",", F.transform(c, lambda x: x["l"]))
-    per = per.select("row", *(f"n_{k}" for k in KINDS[:4]), join(F.filter("all", lambda x: x["base"])).alias("b"), join(F.col("all")).alias("s"))
+    counts = [*(f"n_{k}" for k in KINDS[:4]), "n_added"]
+    per = per.select("row", *counts, join(F.filter("all", lambda x: x["base"])).alias("b"), join(F.col("all")).alias("s"))
     out = rows.select("row", "doc_id").join(per, "row", "left")
-    return out.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS[:4]),
+    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
                       F.sha2(F.coalesce("b", F.lit("")), 256).alias("base_sha256"), F.coalesce("s", F.lit("")).alias("spans"))
 
 

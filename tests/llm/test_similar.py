@@ -95,12 +95,25 @@ def test_minhash_edge_cases(spark):
     rows = [(1, text), (1, text), (2, text), (None, text), (3, None), (4, ""), (5, " \n"), (6, "other words entirely here now then"), (6, text)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)
-    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 1, False), (6, 1, False)], key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 6, True), (6, 1, False)], key=str)
     left = minhash.keep_first(df)
-    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([1, None, 3, 4, 5], key=str) and left.columns == df.columns
+    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([1, None, 3, 4, 5, 6], key=str) and left.columns == df.columns
+    assert [r.text for r in left.collect() if r.doc_id == 6] == ["other words entirely here now then"]
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.keep_first(df.limit(0)).count() == 0
 
 
+def test_every_text_of_a_repeated_id_keeps_its_links(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [[word() for _ in range(60)] for _ in range(4)]
+    near = [" ".join(b[:59] + [word()]) for b in base]
+    rows = [(7, " ".join(b)) for b in base] + [(10 + i, t) for i, t in enumerate(near)]  # four texts with one id, and a near copy of each
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(df, fold_copies=True).collect()]
+    assert sorted(got) == sorted([(7, 7, True)] * 4 + [(10 + i, 7, False) for i in range(4)])
+    assert sorted(r.text for r in minhash.keep_first(df, fold_copies=True).collect()) == sorted(t for i, t in rows if i == 7)
+
+
 def test_texts_with_colliding_polynomials_are_not_copies(spark):
     word = "a"
     while len(word) < 1024:
@@ -235,6 +248,9 @@ def test_audit_locates_every_difference(spark):
     assert got == Counter([(77, 1, 0), (10, 1, 0), (10, 0, 1), (2000, 1, 0), (2000, 0, 1), (20, 1, 2), (None, 0, 1), (4000, 0, 1)])
     assert fixity.audit(a, a.repartition(7), "at", ["at", "url", "sha"]).count() == 0
     assert fixity.audit(a.limit(0), a.limit(0), "at", ["at"]).count() == 0
+    ends = spark.createDataFrame([(-(2**63), "a"), (2**63 - 1, "b"), (None, "c")], "at long, v string")
+    got = fixity.audit(ends, ends.where("v <> 'a'"), "at", ["at", "v"]).collect()
+    assert [(r.at, r.n_primary, r.n_replica) for r in got] == [(-(2**63), 1, 0)]
     assert fixity.audit(a, a.limit(0), "at", ["at", "url", "sha"]).count() == len(set(rows))
 
 
