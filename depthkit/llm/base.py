@@ -7,6 +7,7 @@ task follows the longest text and not the size of a partition.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -19,7 +20,12 @@ from pyspark.sql import functions as F
 
 from depthkit.session import cut_lineage, scratch_path
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: For networks that take a step in Python for each place of the longest row: fewer, longer slices.
+WIDE_SLICE = 1 << 21
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,6 +70,14 @@ def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
         lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system after a batch: workers live through many stages, and allocators keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -30,8 +30,8 @@ NONE = np.int64(1) << 40
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Longest piece for the vector path; longer ones are merged exactly, one by one.
 LONG = 64
-#: Distinct pieces that a Python worker remembers.
-REMEMBER = 1 << 20
+#: Distinct pieces that a Python worker remembers (about 32 MB of tables); it starts anew when they are full.
+REMEMBER = 1 << 19
 
 _CLASS = np.array([LETTER if regex.match(r"\p{L}", chr(c)) else NUMBER if regex.match(r"\p{N}", chr(c))
                    else SPACE if regex.match(r"\s", chr(c)) else OTHER for c in range(256)], np.uint8)

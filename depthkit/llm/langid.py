@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthkit.llm.base import labelled_sample, letter_words, mix, prefix_sums, ragged, raw_hash, ship, text_slices
+from depthkit.llm.base import WIDE_SLICE, labelled_sample, letter_words, mix, prefix_sums, ragged, raw_hash, ship, text_slices
 
 #: Bounds of the training sample: rows of a language, spans cut from a row, words of a span.
 SAMPLE_ROWS, SAMPLE_SPANS, SPAN = 400, 4, 24
@@ -124,7 +124,7 @@ def sample_spans(df: DataFrame, label: str, text: str, most: int, spans: int, sp
     def run(batches):
         for batch in batches:
             l, w = [], []
-            for lo, hi, data, offs in text_slices(batch.column(1)):
+            for lo, hi, data, offs in text_slices(batch.column(1), WIDE_SLICE):
                 low, s, e, row = letter_words(data, offs)
                 raw, cut = low.tobytes(), np.searchsorted(row, np.arange(hi - lo + 1))
                 for r in range(hi - lo):
@@ -229,7 +229,7 @@ def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches):
         for batch in batches:
             lettered = np.asarray(batch.column(2).fill_null(False))
-            for lo, hi, data, offs in text_slices(batch.column(1)):
+            for lo, hi, data, offs in text_slices(batch.column(1), WIDE_SLICE):
                 low, s, e, row = letter_words(data, offs)
                 rows = hi - lo
                 n = np.bincount(row, minlength=rows)

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthkit.llm.base import cut_lineage, mix, prefix_sums, ragged, raw_hash, ship, text_slices
+from depthkit.llm.base import SLICE_BYTES, cut_lineage, mix, prefix_sums, ragged, raw_hash, ship, text_slices
 
 #: Characters of item texts that one pass over the documents answers.
 BLOCK_CHARS = 4_000_000
 #: Bytes of document text that are worked on at once, and scores held at once.
-SLICE, CELLS = 1 << 19, 1 << 20
+SLICE, CELLS = SLICE_BYTES, 1 << 20
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthkit.llm.base import fold, labelled_sample, letter_words, mix, prefix_sums, ragged, raw_hash, ship, text_slices
+from depthkit.llm.base import WIDE_SLICE, fold, labelled_sample, letter_words, mix, prefix_sums, ragged, raw_hash, ship, text_slices
 
 WINDOW, STEP = 32, 16
 #: Bytes that the byte network reads at once.  Longer runs of letters, whole texts without blanks
@@ -319,7 +319,7 @@ def sample_texts(rows: DataFrame) -> list[tuple[int, str]]:
     def run(batches):
         for batch in batches:
             l, w = [], []
-            for lo, hi, data, offs in text_slices(batch.column(1)):
+            for lo, hi, data, offs in text_slices(batch.column(1), WIDE_SLICE):
                 low, s, e, row = pieces(data, offs)
                 raw, cut = low.tobytes(), np.searchsorted(row, np.arange(hi - lo + 1))
                 for r in range(hi - lo):
@@ -342,7 +342,7 @@ def predict(df: DataFrame, p: Params, doc_id: str = "doc_id", text: str = "text"
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in text_slices(batch.column(1)):
+            for lo, hi, data, offs in text_slices(batch.column(1), WIDE_SLICE):
                 score, windows = score_slice(model, data, offs)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(windows, pa.int64())],
@@ -376,7 +376,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFr
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in text_slices(batch.column(at)):
+            for lo, hi, data, offs in text_slices(batch.column(at), WIDE_SLICE):
                 value, _ = score_slice(model, data, offs)
                 yield batch.slice(lo, hi - lo).filter(pa.array(value < 0.5))
 
