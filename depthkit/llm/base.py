@@ -70,14 +70,22 @@ def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
         lo = hi
-    give_back()
+    give_back(int(offs[-1] - offs[0]))
 
 
-def give_back() -> None:
-    """Return freed memory to the system after a batch: workers live through many stages, and allocators keep what they once had."""
-    pa.default_memory_pool().release_unused()
-    if _trim is not None:
-        _trim(0)
+#: Bytes of text after which a worker returns freed memory, and those since it last did.
+GIVE_BACK = 1 << 26
+_seen = [0]
+
+
+def give_back(size: int) -> None:
+    """Return freed memory to the system now and then: workers live through many stages, and allocators keep what they once had."""
+    _seen[0] += size
+    if _seen[0] >= GIVE_BACK:
+        _seen[0] = 0
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -30,6 +30,8 @@ NONE = np.int64(1) << 40
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Longest piece for the vector path; longer ones are merged exactly, one by one.
 LONG = 64
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 #: Distinct pieces that a Python worker remembers (about 32 MB of tables); it starts anew when they are full.
 REMEMBER = 1 << 19
 
@@ -496,7 +498,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: int = 1):
     """Yield (batch, first row, end row, flat ids, ids per row) for each slice of each batch."""
     v = vocabulary(path)
     for batch in batches:
-        for lo, hi, data, offs in text_slices(batch.column(text)):
+        for lo, hi, data, offs in text_slices(batch.column(text), SLICE):
             flat, counts = v.encode_slice(data, offs)
             yield batch, lo, hi, flat, counts
 
