@@ -6,9 +6,8 @@ three-word windows.  The method then compresses the whole text, and each chunk o
 length means repetition, one above it means noise such as encoded binary data.  Short texts
 compress less, so every length class has limits of its own.
 
-The limits are learned (``learn``) from a bounded sample of the rows labelled clean, as quantiles
-of their ratios with a margin.  ``Bands()`` holds wide limits for classes that the sample does not
-reach, and for inputs without labels.
+The limits are learned (``learn``) from all rows labelled clean, as quantiles of their ratios with
+a margin.  ``Bands()`` holds wide limits for classes that these rows do not reach, and for inputs without labels.
 """
 
 from __future__ import annotations
@@ -21,14 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthkit.llm.base import fold, labelled_sample, mix, ship, span_hashes, text_slices, words
+from depthkit.llm.base import fold, mix, ship, span_hashes, text_slices, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: Lengths in bytes at which the learned classes begin; the last one is open.
 EDGES = (0, 128, 256, 384, 512, 768, 1024, 1536, 2048, 3072, 4096, 6144, 8192, 12288, 16384, 24576, 32768, 49152, 65536, 1 << 17, 1 << 18)
-#: Bound of the sample of clean texts, and the texts (or chunks) a class needs to have learned limits.
-SAMPLE_TEXTS, CLASS_TEXTS = 4000, 20
+#: Texts (or chunks) a class needs to have learned limits.
+CLASS_TEXTS = 20
 #: A limit is this quantile of the clean ratios, moved outwards by a share of its distance from the median.
 QUANTILE, MARGIN_LOW, MARGIN_HIGH, MARGIN_CHUNK = 0.01, 0.25, 1.0, 1.0
 _BINS = 10_000
@@ -146,35 +145,39 @@ def learned(histogram: dict[int, dict[int, int]], bands: Bands = Bands()) -> Ban
 
 
 def learn(docs: DataFrame, labels: DataFrame, bands: Bands = Bands(), folds: int = 5, held: int = 0) -> Bands:
-    """Bands from about SAMPLE_TEXTS texts labelled clean (quality 1) outside the held-out fold.
+    """Bands from all texts labelled clean (quality 1) outside the held-out fold.
 
-    The ids are broadcast, so texts are not shuffled; one count per class and ratio reaches the
-    driver.  Labels without a quality, or none, leave the wide limits."""
+    Texts become ratios where they are, and only ratios with their ids are joined with the labels, so neither texts
+    nor all ids are shipped; one count per class and ratio reaches the driver.  Labels without a
+    quality, or none, leave the wide limits."""
     if "quality" not in labels.columns:
         return bands
     ship(docs.sparkSession)
     known = labels.where((fold(F.col("doc_id"), folds) != held) & F.col("quality").isin(0, 1)).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    chosen = labelled_sample(known.where("quality = 1"), "quality", SAMPLE_TEXTS).select("doc_id")
+    chosen = known.where("quality = 1").select("doc_id")
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
-            for _, _, data, offs in text_slices(batch.column(0)):
+            for lo, _, data, offs in text_slices(batch.column(1)):
                 failed, raw = base_failed(base_counts(data, offs), bands), data.tobytes()
-                c, ratio = [], []
+                at, c, ratio = [], [], []
                 for r in np.flatnonzero(~failed):
                     t = raw[offs[r]:offs[r + 1]]
                     parts = chunk_ratios(t, bands, packer)
+                    at += [lo + int(r)] * (1 + len(parts))
                     c += [int(np.searchsorted(EDGES, len(t), "right")) - 1] + [-1] * len(parts)
                     ratio += [len(packer.compress(t)) / len(t), *parts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int32()), pa.array(np.round(np.array(ratio) * _BINS).astype(np.int32), pa.int32())], ["c", "ratio"])
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(c, pa.int32()),
+                     pa.array(np.round(np.array(ratio) * _BINS).astype(np.int32), pa.int32())], ["doc_id", "c", "ratio"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+    # one row for each document, class and ratio before the join
+    ratios = texts.where(fold(F.col("doc_id"), folds) != held).mapInArrow(run, "doc_id long, c int, ratio int").groupBy("doc_id", "c", "ratio").count()
     histogram: dict[int, dict[int, int]] = {}
-    for c, ratio, n in texts.mapInArrow(run, "c int, ratio int").groupBy("c", "ratio").count().collect():
+    for c, ratio, n in ratios.join(chosen, "doc_id").groupBy("c", "ratio").agg(F.sum("count").alias("n")).collect():
         histogram.setdefault(c, {})[ratio] = n
     return learned(histogram, bands)
 
