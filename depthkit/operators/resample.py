@@ -42,7 +42,8 @@ def depth_grid(df: DataFrame, step: float = S.TARGET_STEP, group: str = S.GROUP,
     st = st.withColumn("_n", (F.floor((F.col("_mx") - F.col("_mn")) / F.lit(float(step)))).cast("long") + 1)
     last = F.col("_n") - 1
     blocks = st.select(group, "_mn", "_mx", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / block).cast("long"))).alias("_b"))
-    blocks = blocks.repartition(group, "_b")
+    # with a number, so that adaptive execution does not put the few blocks, and all their points, in one task
+    blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "_b")
     g = blocks.select(group, "_mn", "_mx", "_n", F.explode(F.sequence(F.col("_b") * block, F.least(last, (F.col("_b") + 1) * block - 1))).alias("_i"))
     d = (
         F.when(F.col("_n") == 1, F.col("_mn"))
