@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from depthkit import schema as S
 from depthkit.functions.exprs import full_frame, series_window
+from depthkit.session import cut_lineage
 
 
 def sequences(df: DataFrame, features: Sequence[str], target: str = S.TARGET, length: int = S.SEQUENCE_LENGTH,
@@ -51,26 +52,29 @@ def _sequences_blocked(df, features, target, length, step, group, order, carry,
     from depthkit.operators.blocked import join_null_safe, series_index, with_blocks
 
     feats = list(features)
-    idx, st = series_index(df, group, order, bucket_rows=block_rows)
-    masks = df.groupBy(group).agg(*[F.min(F.col(c).isNotNull().cast("int")).alias(f"_ok_{c}") for c in feats])
-    b = join_null_safe(with_blocks(idx, block_rows, length), masks, [group])
+    df = cut_lineage(df.select(*dict.fromkeys([group, order, *carry, target, *feats])), "sequence-input")  # read by the index, the masks and the frames
+    idx, _ = series_index(df, group, order, bucket_rows=block_rows)
+    masks = cut_lineage(df.groupBy(group).agg(*[F.min(F.col(c).isNotNull().cast("int")).alias(f"_ok_{c}") for c in feats]), "sequence-masks")
+    idx = join_null_safe(idx, masks, [group])
+    some = F.lit(False)
+    for c in feats:
+        some = some | (F.col(f"_ok_{c}") == 1)
+    keep = ((F.col("_n") >= 2 * length) & (F.col("_idx") >= length) & (F.col("_idx") < F.col("_n") - length)
+            & (((F.col("_idx") - length) % step) == 0) & F.col(target).isNotNull() & some)
+    # sequence_idx = rank among kept rows of the group: per-block counts + offsets (small table), before rows carry sequences
+    idx = idx.withColumns({"_keep": keep, "_b": F.floor(F.col("_idx") / block_rows).cast("long")})
+    per_blk = idx.groupBy(group, "_b").agg(F.count_if("_keep").alias("_c"))
+    wb = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per_blk.select(group, F.col("_b").alias("_blk"), F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_first"))
+    b = join_null_safe(with_blocks(idx.drop("_b"), block_rows, length), offs, [group, "_blk"], "left")  # a halo may lie in a block without rows
     w = Window.partitionBy(group, "_blk").orderBy("_idx")
     vec = F.filter(F.array(*[F.when(F.col(f"_ok_{c}") == 1, F.col(c).cast("double")) for c in feats]), lambda x: x.isNotNull())
     used = F.filter(F.array(*[F.when(F.col(f"_ok_{c}") == 1, F.lit(c)) for c in feats]), lambda x: x.isNotNull())
-    t = b.select(group, order, *carry, "_core", "_idx", "_n", "_blk", F.col(target).alias("_y"), used.alias("features_used"),
-                 F.collect_list(vec).over(w.rowsBetween(-length, -1)).alias("sequence"))
-    keep = (F.col("_core") & (F.col("_n") >= 2 * length) & (F.col("_idx") >= length) & (F.col("_idx") < F.col("_n") - length)
-            & (((F.col("_idx") - length) % step) == 0) & F.col("_y").isNotNull() & (F.size("features_used") > 0))
-    kept = t.filter(keep)
-    # sequence_idx = rank among kept rows of the group: per-block counts + offsets (small table)
-    per_blk = kept.groupBy(group, "_blk").agg(F.count(F.lit(1)).alias("_c"))
-    wb = Window.partitionBy(group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_blk.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
-    kept = join_null_safe(kept, offs, [group, "_blk"])
-    wk = Window.partitionBy(group, "_blk").orderBy("_idx")
-    return kept.select(group, F.col(order).alias("depth"), *carry,
-                       (F.col("_off") + F.row_number().over(wk) - 1).cast("int").alias("sequence_idx"),
-                       "sequence", "features_used", F.col("_y").alias("target"))
+    mine = F.col("_core") & F.col("_keep")
+    before = F.count_if(mine).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    t = b.select(group, order, *carry, mine.alias("_mine"), (F.col("_first") + before).cast("int").alias("sequence_idx"), F.col(target).alias("_y"),
+                 used.alias("features_used"), F.collect_list(vec).over(w.rowsBetween(-length, -1)).alias("sequence"))
+    return t.filter("_mine").select(group, F.col(order).alias("depth"), *carry, "sequence_idx", "sequence", "features_used", F.col("_y").alias("target"))
 
 
 def sequence_metadata(seqs: DataFrame, group: str = S.GROUP, carry: Sequence[str] = ()) -> DataFrame:
