@@ -96,9 +96,10 @@ class Lookup:
 class Vocabulary:
     """A byte-level BPE vocabulary file of the tokenizers library, as arrays."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.remember = remember
         model = spec["model"]
         self.path = path
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -159,9 +160,10 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.seen, self.seen_n, self.flat_n = Lookup(REMEMBER), 0, 0
+        self.seen = None  # the old tables go before new ones are made
+        self.seen, self.seen_n, self.flat_n = Lookup(self.remember), 0, 0
         self.memo_flat = np.zeros(1 << 16, np.int32)
-        self.memo_start, self.memo_len = np.zeros(REMEMBER, np.int64), np.zeros(REMEMBER, np.int32)
+        self.memo_start, self.memo_len = np.zeros(self.remember, np.int64), np.zeros(self.remember, np.int32)
 
     @staticmethod
     def _key(h: np.ndarray, lens: np.ndarray, final: np.ndarray) -> np.ndarray:
@@ -428,7 +430,7 @@ class Vocabulary:
         head = np.ones(len(key), bool)
         head[1:] = key[1:] != key[:-1]
         at = miss[order[head]]
-        if self.seen_n + len(at) > REMEMBER:
+        if self.seen_n + len(at) > self.remember:
             self.forget()
             return self.rows_of(data, starts, ends)
         lens = ends[at] - starts[at]
@@ -451,8 +453,8 @@ class Vocabulary:
         rows = len(offs) - 1
         low, s, e, row, slow = self.pieces(data, offs)
         lens, parts = np.zeros(len(s), np.int64), [np.zeros(0, np.int32)]
-        for k in range(0, len(s), REMEMBER >> 1):  # more than one only for a very long text
-            some = slice(k, k + (REMEMBER >> 1))
+        for k in range(0, len(s), self.remember >> 1):  # more than one only for a very long text
+            some = slice(k, k + (self.remember >> 1))
             at = s[some][0]
             memo = self.rows_of(low[at:e[some][-1]], s[some] - at, e[some] - at)
             lens[some] = self.memo_len[memo]
@@ -494,11 +496,11 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: int = 1):
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: int = 1, v: Vocabulary | None = None, limit: int = SLICE):
     """Yield (batch, first row, end row, flat ids, ids per row) for each slice of each batch."""
-    v = vocabulary(path)
+    v = v or vocabulary(path)
     for batch in batches:
-        for lo, hi, data, offs in text_slices(batch.column(text), SLICE):
+        for lo, hi, data, offs in text_slices(batch.column(text), limit):
             flat, counts = v.encode_slice(data, offs)
             yield batch, lo, hi, flat, counts
 
