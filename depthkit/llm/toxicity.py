@@ -29,6 +29,10 @@ BYTES, PIECE_STEP = 10, 4
 WORD_TEXTS = 10
 #: Bounds of the training sample: texts of each label, windows cut from a text.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 1000, 48
+#: Bytes whose words are hashed at once: running sums take 40 bytes for each.
+HASHED = 1 << 18
+#: Rows whose states are computed at once, so that what a step reads and writes stays in a core's cache.
+BLOCK = 512
 _U = np.uint64
 
 
@@ -140,6 +144,66 @@ def bigru_pool_back(p: Params, name: str, dout: np.ndarray, saved, grads: dict)
     return dx
 
 
+def gates(p: Params, way: str, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Projected inputs and recurrent weights of a GRU (``name`` + way), gate by gate: 3 x inputs x hidden and 3 x hidden x hidden."""
+    split = lambda x: np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
+    return split(inputs @ p[way + "x"] + p[way + "b"]), split(p[way + "h"])
+
+
+def _states(gated: tuple[np.ndarray, np.ndarray], place: np.ndarray, dead: np.ndarray, back: bool, out: np.ndarray) -> None:
+    """The states of ``_gru`` for rows by ascending length, written to ``out``; the first ``dead[t]`` rows have ended before step t.
+
+    What a step needs lies in buffers that all steps share, a gate in one piece."""
+    xp, wh = gated
+    steps, rows, n = out.shape
+    h = np.zeros((rows, n), np.float32)
+    own, rec = np.empty(3 * rows * n, np.float32), np.empty(3 * rows * n, np.float32)
+    half, one = np.float32(0.5), np.float32(1)
+    for t in range(steps)[::-1 if back else 1]:
+        a = int(dead[t])
+        m = rows - a
+        x, hp, live = own[:3 * m * n].reshape(3, m, n), rec[:3 * m * n].reshape(3, m, n), h[a:]
+        np.take(xp, place[t, a:], axis=1, out=x, mode="clip")
+        np.matmul(live, wh, out=hp)
+        zr, c = x[:2], hp[2]
+        zr += hp[:2]
+        zr *= half
+        np.tanh(zr, out=zr)
+        zr += one
+        zr *= half
+        c *= zr[1]
+        c += x[2]
+        np.tanh(c, out=c)
+        live -= c
+        live *= zr[0]
+        live += c
+        out[t] = h
+
+
+def pool_sorted(p: Params, name: str, forth: tuple, back: tuple, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``bigru_pool`` for rows by ascending ``count`` of steps, BLOCK rows at a time; ``place`` (time x rows) are numbers of inputs."""
+    n = forth[1].shape[1]
+    pooled = np.empty((len(count), 2 * n), np.float32)
+    for k in range(0, len(count), BLOCK):
+        some = count[k:k + BLOCK]
+        steps = int(some[-1])
+        at, dead = place[:steps, k:k + BLOCK], np.searchsorted(some, np.arange(steps), "right")
+        h = np.empty((steps, len(some), 2 * n), np.float32)
+        _states(forth, at, dead, False, h[:, :, :n])
+        _states(back, at, dead, True, h[:, :, n:])
+        u = h @ p[name + "a"]
+        np.tanh(u, out=u)
+        s = u @ p[name + "v"]
+        for t in range(steps):
+            s[t, :dead[t]] = -1e9
+        s -= s.max(0)
+        np.exp(s, out=s)
+        s /= s.sum(0)
+        h *= s[:, :, None]
+        h.sum(0, out=pooled[k:k + BLOCK])
+    return pooled
+
+
 # ---- words and windows ---------------------------------------------------------------------
 def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``letter_words``, with runs longer than BYTES cut into overlapping pieces at character borders."""
@@ -163,7 +227,12 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def word_inputs(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct words, their bytes (256: none), number of each word among them)."""
-    key = mix(raw_hash(prefix_sums(data), s, e))
+    key = np.empty(len(s), np.uint64)
+    cuts = np.searchsorted(s, np.arange(0, len(data) + HASHED, HASHED))  # words begin in ascending places
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        if i < j:
+            lo = s[i]
+            key[i:j] = mix(raw_hash(prefix_sums(data[lo:e[i:j].max()]), s[i:j] - lo, e[i:j] - lo))
     _, first, back = np.unique(key, return_index=True, return_inverse=True)
     a, n = s[first], (e - s)[first]
     at = np.arange(BYTES)
@@ -192,30 +261,28 @@ def encode_words(p: Params, bucket: np.ndarray, letters: np.ndarray, keep: bool
     if keep:
         c, saved = bigru_pool(p, "c", p["byte"][letters.T], letters.T < 256, True)
         return np.concatenate([p["word"][bucket], c], 1), saved
-    out = np.empty((len(bucket), p["word"].shape[1] + p["ca"].shape[0]), np.float32)
-    order = np.argsort((letters < 256).sum(1), kind="stable")  # words of similar length together
+    wide = p["word"].shape[1]
+    out = np.empty((len(bucket), wide + p["ca"].shape[0]), np.float32)
+    out[:, :wide] = p["word"][bucket]
+    size = (letters < 256).sum(1)
+    order = np.argsort(size, kind="stable")  # words of similar length together
+    forth, back = gates(p, "cf", p["byte"]), gates(p, "cb", p["byte"])
     for k in range(0, len(order), 8192):
         some = order[k:k + 8192]
-        wide = max(1, int((letters[some[-1]] < 256).sum()))
-        part = letters[some, :wide].T
-        out[some] = np.concatenate([p["word"][bucket[some]], bigru_pool(p, "c", p["byte"][part], part < 256)], 1)
+        out[some, wide:] = pool_sorted(p, "c", forth, back, np.ascontiguousarray(letters[some, :int(size[some[-1]])].T), size[some])
     return out
 
 
 def window_logits(p: Params, words: np.ndarray, ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Scores of windows of adjacent words; ``ids`` are rows of ``words``."""
     out = np.empty(len(first), np.float32)
-    pf, pb = words @ p["wfx"] + p["wfb"], words @ p["wbx"] + p["wbb"]
+    forth, back = gates(p, "wf", words), gates(p, "wb", words)
     order = np.argsort(count, kind="stable")
     for k in range(0, len(order), 2048):
         some = order[k:k + 2048]
-        at = np.arange(int(count[some].max()))[:, None]
-        mask = at < count[some]
+        at = np.arange(int(count[some[-1]]))[:, None]
         place = ids[np.minimum(first[some] + at, len(ids) - 1)]
-        h = np.concatenate([_gru(pf[place], mask, p["wfh"], False)[0], _gru(pb[place], mask, p["wbh"], True)[0]], 2)
-        s = np.where(mask, np.tanh(h @ p["wa"]) @ p["wv"], np.float32(-1e9))
-        s = np.exp(s - s.max(0))
-        out[some] = ((s / s.sum(0))[:, :, None] * h).sum(0) @ p["o"] + p["ob"]
+        out[some] = pool_sorted(p, "w", forth, back, place, count[some]) @ p["o"] + p["ob"]
     return out
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -106,6 +107,31 @@ def test_gradients_of_the_network():
             assert abs((high - low) / 2e-2 - g[at]) < 2e-2 * max(1, abs(g[at])), name
 
 
+def test_states_of_scoring_equal_the_network():
+    """Rows by length, in blocks and gate by gate: the same as the network that is trained."""
+    rng = np.random.default_rng(4)
+    p = toxicity.new_params(np.zeros(0, np.uint64))
+    table = rng.normal(size=(300, p["wfx"].shape[0])).astype(np.float32)
+    count = np.sort(rng.integers(1, 33, 2 * toxicity.BLOCK + 77))
+    place = rng.integers(0, 300, (32, len(count)))
+    want = toxicity.bigru_pool(p, "w", table[place], np.arange(32)[:, None] < count)
+    got = toxicity.pool_sorted(p, "w", toxicity.gates(p, "wf", table), toxicity.gates(p, "wb", table), place, count)
+    assert got.shape == want.shape and np.allclose(got, want, rtol=1e-5, atol=1e-6)
+
+
+def test_scoring_keeps_no_steps():
+    """A scored window's steps are not kept: 2,048 windows took 39 MB, in arrays too large to be used again."""
+    rng = np.random.default_rng(5)
+    p = toxicity.new_params(np.zeros(0, np.uint64))
+    words = rng.normal(size=(500, p["wfx"].shape[0])).astype(np.float32)
+    ids = rng.integers(0, 500, 2048 + 32)
+    tracemalloc.start()
+    toxicity.window_logits(p, words, ids, np.arange(2048), np.full(2048, 32))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16e6, most
+
+
 def test_windows_cover_all_words():
     n = np.array([0, 1, 31, 32, 33, 100, 1000])
     row, first, count = toxicity.window_words(n)
