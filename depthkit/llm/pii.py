@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,7 +156,8 @@ def added_spans(rows: DataFrame, base: DataFrame, accept: float = ACCEPT) -> Dat
     proposals = cut_lineage(features(votes(matches(rows, LOOSE))), "proposals")
     counted = [(r[0], r[1]) for r in proposals.groupBy("votes").count().orderBy("votes").collect()]  # 3 ** labelers at most
     spark = rows.sparkSession
-    post = spark.createDataFrame(sorted(reliabilities(counted).items()) or [("", 0.0)], "votes string, p double")
+    says, p = zip(*(sorted(reliabilities(counted).items()) or [("", 0.0)]))
+    post = spark.createDataFrame(pa.table({"votes": pa.array(says, pa.string()), "p": pa.array(p, pa.float64())}))  # as Arrow, which needs no Python worker
     soft = proposals.join(F.broadcast(post), "votes")
     seen = soft.select("p", F.explode("f").alias("f")).groupBy("f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
     total = soft.agg(F.sum("p").alias("all_yes"), F.sum(1 - F.col("p")).alias("all_no"))

@@ -9,8 +9,9 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 pytest.importorskip("public_tokenizers")
 
+import pyarrow as pa
 import corpus_pipeline
-from depthkit.llm import minhash, pii, quality, toxicity
+from depthkit.llm import base, components, minhash, pii, quality, toxicity
 from depthkit.llm.queries import word_vocabulary
 from tokenizers import Tokenizer
 
@@ -70,3 +71,45 @@ def test_stages(spark, tmp_path):
     got = {r.doc_id: r.n for r in docs.groupBy("doc_id").sum("length").withColumnRenamed("sum(length)", "n").collect()}
     assert got == want
     assert sorted((r.doc_id, r.length) for r in corpus_pipeline.run(spark, sf).collect()) == sorted((r.doc_id, r.length) for r in docs.collect())
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """30 MB of text in one partition: Spark's own bounds would make one batch of it."""
+    base.ship(spark)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 10000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes], "rows": [batch.num_rows]})
+
+    seen = docs.mapInArrow(sizes, "n long, rows long").collect()
+    assert sum(r.rows for r in seen) == 3000 and max(r.n for r in seen) < 2 * base.BATCH_BYTES
+
+
+def test_redaction_starts_no_python_worker(spark):
+    """Its small frame of patterns is made from Arrow: workers of a second kind stayed beside those of the other stages."""
+    docs = spark.createDataFrame([(i, f"write to me{i}@x.org or call, secret: key{i}abc") for i in range(20)], "doc_id long, text string")
+    seen, make = [], type(spark).createDataFrame
+    try:
+        type(spark).createDataFrame = lambda self, data, *a, **b: (seen.append(type(data)), make(self, data, *a, **b))[1]
+        assert pii.redact(docs).count() == 20
+    finally:
+        type(spark).createDataFrame = make
+    assert seen and set(seen) == {pa.Table}
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    """As many files as the links need, not one for each shuffle partition, and the same components."""
+    files, cut = [], components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda df, name: (out := cut(df, name), files.append(len(out.inputFiles())))[0])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 10 != 9], "a long, b long")
+        got = {r.node: r.component for r in components.components(links).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 10 * 10 for i in range(300)}
+    assert len(files) > 2 and max(files[1:]) <= components.TASKS, files
