@@ -275,3 +275,20 @@ def test_common_shingles_are_proposed_by_all_texts(spark):
     for parts in (1, 9):
         keys, freq, n = minhash.common_shingles_of_distinct(spark.createDataFrame([(r,) for r in rows], "text string").repartition(parts), sample=20)
         assert n == 900 and want and dict(zip(keys.tolist(), freq.tolist())) == want
+
+
+def test_weights_are_the_formula_of_every_shingle(spark):
+    """A shingle in up to a tenth of the texts has idf 1 by the formula, so weights need the frequencies above that only."""
+    rng = random.Random(8)
+    rows = [" ".join(["the same six words of all", *(["half of the texts have this"] if i % 2 else []), *(["rare words in two texts here"] if i < 2 else []),
+                      *(f"w{rng.randrange(10 ** 6)}" for _ in range(8))]) for i in range(40)]
+    raw = [t.encode() for t in rows]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    f = minhash.features(data, offs)
+    key, df = np.unique(f.key, return_counts=True)
+    idf = dict(zip(key.tolist(), np.log1p(1 / np.maximum(df / len(rows), minhash.RARE)) / np.log1p(1 / minhash.RARE)))
+    want = [(1 + math.log(t)) * idf[k] for k, t in zip(f.key.tolist(), f.tf.tolist())]
+    texts = spark.createDataFrame([(r,) for r in rows], "text string").repartition(5)
+    for common in (minhash.common_shingles(texts), minhash.common_shingles_of_distinct(texts)):
+        assert np.allclose(minhash.weights(f.key, f.tf, common), want, rtol=1e-12)
+    assert len({round(v, 9) for v in idf.values()}) == 3
