@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +21,22 @@ MANIFEST = ("run string, kind string, started double, finished double, duration_
             "tables array<struct<name:string, path:string, rows:long, columns:array<string>, seconds:double>>")
 
 
-def write_run(spark: SparkSession, root: str, outputs: dict[str, DataFrame], kind: str = "features", run: str | None = None,
+def write_run(spark: SparkSession, root: str, outputs: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], kind: str = "features", run: str | None = None,
               failures: DataFrame | None = None, partition_by: dict[str, str] | None = None, commit: bool = True) -> str:
     """Write the tables of a run as Parquet and commit it; returns its name.
 
+    A table may be given as a function of the tables written before it, so that it is made from what was written.
     ``failures`` (any table, such as the files that could not be read) is written as a table of the run, too, and its
     rows are counted in the manifest.  Without ``commit`` the run stays invisible, like one that died."""
     run = run or f"run-{time.strftime('%Y%m%d-%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
-    base, started, tables = f"{root.rstrip('/')}/{run}", time.time(), []
+    base, started, tables, written = f"{root.rstrip('/')}/{run}", time.time(), [], {}
     outputs = dict(outputs) | ({"failures": failures} if failures is not None else {})
     for name, df in outputs.items():
         at = time.time()
+        df = df(written) if callable(df) else df
         write_table(df, f"{base}/{name}", (partition_by or {}).get(name), mode="errorifexists")
-        rows = spark.read.schema(df.schema).parquet(f"{base}/{name}").count()  # from the footers
+        written[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}")
+        rows = written[name].count()  # from the footers
         tables.append((name, f"{base}/{name}", rows, df.columns, time.time() - at))
     if commit:
         done, failed = time.time(), next((t[2] for t in tables if t[0] == "failures"), 0)
